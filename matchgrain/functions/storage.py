@@ -40,6 +40,6 @@ def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -
     if slot not in _STORED:
         digest = hashlib.sha256(key.encode()).hexdigest()[:16]
         path = f"{shared_folder(spark)}/tables/{application}/{digest}"
-        build().write.mode("overwrite").parquet(path)
+        build().repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.mode("overwrite").parquet(path)
         _STORED[slot] = path
     return spark.read.parquet(_STORED[slot])

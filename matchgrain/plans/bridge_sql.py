@@ -58,6 +58,19 @@ VIEWS: dict[str, tuple[str, str]] = {
                0.8::DOUBLE + (home_team_id % 11) / 10.0::DOUBLE AS home_rate,
                0.6::DOUBLE + (away_team_id % 9) / 10.0::DOUBLE AS away_rate
         FROM matches"""),
+    "pm": ("rates", """
+        SELECT fixture_id, home_rate, away_rate, g, exp(g * ln(home_rate) - home_rate - lgamma(g + 1)) AS ph,
+               exp(g * ln(away_rate) - away_rate - lgamma(g + 1)) AS pa
+        FROM rates CROSS JOIN range(31) t(g)"""),
+    "grid_size": ("pm", """
+        SELECT fixture_id, min(g) AS n FROM (
+          SELECT fixture_id, g, sum(ph) OVER w * sum(pa) OVER w AS m FROM pm
+          WINDOW w AS (PARTITION BY fixture_id ORDER BY g))
+        WHERE g >= 8 AND 1 - m <= 1e-10 GROUP BY fixture_id"""),
+    "grid": ("pm grid_size", """
+        SELECT h.fixture_id, h.g AS home_goals, a.g AS away_goals, h.ph * a.pa AS p
+        FROM grid_size s JOIN pm h ON h.fixture_id = s.fixture_id AND h.g <= s.n
+        JOIN pm a ON a.fixture_id = s.fixture_id AND a.g <= s.n"""),
     "shots": ("", """
         SELECT l_orderkey AS fixture_id, l_linenumber AS shot_no, max(l_discount) * 5 AS xg, max(l_tax) * 10 AS xgot,
                l_linenumber % 2 = 0 AS is_home, max(l_returnflag) AS situation, max(l_quantity) AS distance
