@@ -234,7 +234,7 @@ def c20(b):
 @query("c21_best_bets", """WITH o AS (SELECT fixture_id, max(CASE WHEN selection = 'home' THEN decimal_price END) AS oh, max(CASE WHEN selection = 'draw' THEN decimal_price END) AS od, max(CASE WHEN selection = 'away' THEN decimal_price END) AS oa FROM quotes WHERE fixture_id % 4 > 0 GROUP BY 1),
   j AS (SELECT f.fixture_id, CASE WHEN f.fixture_id % 5 = 0 THEN 0.3::DOUBLE ELSE p_home END AS h, p_draw AS d, p_away AS a, oh, od, oa FROM forecasts f JOIN o USING (fixture_id) WHERE oh > 1 AND od > 1 AND oa > 1),
   x AS (SELECT fixture_id, unnest(['Home Win', 'Draw', 'Away Win']) AS pick, unnest([h, d, a]) / (h + d + a) AS p, unnest([oh, od, oa]) AS o, 1 / oh + 1 / od + 1 / oa AS s FROM j)
-  SELECT fixture_id, pick, round(p::DECIMAL(38,18), 4)::DOUBLE AS confidence, round((p - 1 / o / s)::DECIMAL(38,18), 4)::DOUBLE AS edge, round((1 / o / s)::DECIMAL(38,18), 4)::DOUBLE AS market_probability, round((p * o - 1)::DECIMAL(38,18), 4)::DOUBLE AS expected_value,
+  SELECT fixture_id, pick, round(p::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS confidence, round((p - 1 / o / s)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS edge, round((1 / o / s)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS market_probability, round((p * o - 1)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS expected_value,
    CASE WHEN p * o - 1 >= 0.12 THEN 'Elite' WHEN p * o - 1 >= 0.07 THEN 'Strong' ELSE 'Good' END AS tier, round_even(CASE WHEN o >= 2 THEN (o - 1) * 100 ELSE -100 / (o - 1) END, 0)::BIGINT AS odds
   FROM x WHERE p - 1 / o / s >= 0.03 AND p * o - 1 >= 0.03""", "quotes forecasts")
 def c21(b):
