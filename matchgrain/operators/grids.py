@@ -87,14 +87,12 @@ def poisson_grid(
         _pmf_array(F.col("_ar"), hard_max_goals).alias("_a"),
     )
     summed = arrays.select("*", _running(F.col("_h")).alias("_ch"), _running(F.col("_a")).alias("_ca"))
-    tops = F.filter(
-        F.sequence(F.lit(initial_max_goals), F.lit(hard_max_goals)),
-        lambda n: F.lit(1.0) - F.get("_ch", n) * F.get("_ca", n) <= tail_tolerance,
-    )
-    failed = F.raise_error(F.lit("score grid did not meet tail tolerance before hard maximum")).cast("int")
-    sized = summed.select("*", F.coalesce(F.get(tops, F.lit(0)), failed).alias("_n"))
+    # The represented mass grows with the size, so the sizes that miss the tolerance are a prefix.
+    short = F.size(F.filter(F.zip_with("_ch", "_ca", lambda x, y: F.lit(1.0) - x * y), lambda tail: tail > tail_tolerance))
+    sized = summed.select("*", F.greatest(short, F.lit(initial_max_goals)).alias("_n"))
+    failed = F.raise_error(F.lit("score grid did not meet tail tolerance before hard maximum")).cast("double")
     sized = sized.select(
-        *keys, (F.get("_ch", F.col("_n")) * F.get("_ca", F.col("_n"))).alias("_mass"),
+        *keys, F.when(F.col("_n") > hard_max_goals, failed).otherwise(F.get("_ch", F.col("_n")) * F.get("_ca", F.col("_n"))).alias("_mass"),
         F.slice("_h", F.lit(1), F.col("_n") + 1).alias("_hh"), F.slice("_a", F.lit(1), F.col("_n") + 1).alias("_aa"),
     )
     cells = _cells(sized, keys, F.col("_hh"), F.col("_aa"), carried=["_mass"])
@@ -244,41 +242,45 @@ def goal_market_ladder(grid: DataFrame, keys: Sequence[str] = ("fixture_id",)) -
 
     The grid is normalised first; the mode is the first maximum in (home, away) order.
     """
-    h, a = F.col("home_goals"), F.col("away_goals")
+    h, a, p = F.col("home_goals").cast("int"), F.col("away_goals").cast("int"), F.col("p")
     parts = {
-        "p_home": _mass_where(h > a),
-        "p_draw": _mass_where(h == a),
-        "p_away": _mass_where(h < a),
-        "p_btts_yes": _mass_where((h > 0) & (a > 0)),
-        "p_home_clean_sheet": _mass_where(a == 0),
-        "p_away_clean_sheet": _mass_where(h == 0),
-        "p_home_win_to_nil": _mass_where((h > 0) & (a == 0)),
-        "p_away_win_to_nil": _mass_where((h == 0) & (a > 0)),
+        "_home": _mass_where(h > a),
+        "_draw": _mass_where(h == a),
+        "_h_nil": _mass_where((h > 0) & (a == 0)),
+        "_a_nil": _mass_where((h == 0) & (a > 0)),
+    }
+    top = len(LINES)
+    for k in range(top):
+        parts[f"_t{k}"] = _mass_where(h + a == k)
+        parts[f"_h{k}"] = _mass_where(h == k)
+        parts[f"_a{k}"] = _mass_where(a == k)
+    # The mode as one whole number keeps the aggregation a hash aggregation: the mass in
+    # steps of 2^-40, then the cell in reverse order, so the first maximum wins.
+    cell = F.shiftleft((p * float(2**40) + 0.5).cast("bigint"), 12) + (F.lit(4095) - (h * 64 + a))
+    summed = grid.groupBy(*keys).agg(F.sum("p").alias("_mass"), F.max(cell).alias("_mode"), *[c.alias(n) for n, c in parts.items()])
+    share = summed.withColumns({n: F.col(n) / F.col("_mass") for n in parts})
+    place = F.lit(4095) - F.col("_mode").bitwiseAND(F.lit(4095))
+    p_h, p_d = F.col("_home"), F.col("_draw")
+    p_a = 1.0 - p_h - p_d
+    no_goal_h, no_goal_a = F.col("_h0"), F.col("_a0")
+    either_zero = F.col("_h_nil") + F.col("_a_nil") + F.col("_t0")
+    out = {
+        "most_likely_score": F.concat_ws("-", F.shiftright(place, 6).cast("string"), (place % 64).cast("string")),
+        "p_home": p_h, "p_draw": p_d, "p_away": p_a,
+        "p_home_or_draw": p_h + p_d, "p_away_or_draw": p_a + p_d, "p_home_or_away": p_h + p_a,
+        "p_btts_yes": 1.0 - either_zero, "p_btts_no": either_zero,
+        "p_home_clean_sheet": no_goal_a, "p_away_clean_sheet": no_goal_h,
+        "p_home_win_to_nil": F.col("_h_nil"), "p_away_win_to_nil": F.col("_a_nil"),
+        "p_home_draw_no_bet": F.when(p_h > 0, p_h / (p_h + p_a)),
+        "p_away_draw_no_bet": F.when(p_a > 0, p_a / (p_h + p_a)),
     }
-    for line in LINES:
+    under = {"t": F.lit(0.0), "h": F.lit(0.0), "a": F.lit(0.0)}
+    for k, line in enumerate(LINES):
         tag = str(line).replace(".", "_")
-        parts[f"p_over_{tag}"] = _mass_where(h + a > line)
-        parts[f"p_under_{tag}"] = _mass_where(h + a < line)
-        parts[f"p_home_team_over_{tag}"] = _mass_where(h > line)
-        parts[f"p_away_team_over_{tag}"] = _mass_where(a > line)
-    score = F.concat_ws("-", h.cast("string"), a.cast("string"))
-    summed = grid.groupBy(*keys).agg(
-        F.sum("p").alias("_mass"),
-        F.max_by(score, F.struct(F.col("p"), -h, -a)).alias("most_likely_score"),
-        *[c.alias(n) for n, c in parts.items()],
-    )
-    out = summed.withColumns({n: F.col(n) / F.col("_mass") for n in parts}).drop("_mass")
-    p_h, p_d, p_a = F.col("p_home"), F.col("p_draw"), F.col("p_away")
-    return out.withColumns(
-        {
-            "p_home_or_draw": p_h + p_d,
-            "p_away_or_draw": p_a + p_d,
-            "p_home_or_away": p_h + p_a,
-            "p_btts_no": 1.0 - F.col("p_btts_yes"),
-            "p_home_draw_no_bet": F.when(p_h > 0, p_h / (p_h + p_a)),
-            "p_away_draw_no_bet": F.when(p_a > 0, p_a / (p_h + p_a)),
-        }
-    )
+        under = {side: u + F.col(f"_{side}{k}") for side, u in under.items()}
+        out[f"p_over_{tag}"], out[f"p_under_{tag}"] = 1.0 - under["t"], under["t"]
+        out[f"p_home_team_over_{tag}"], out[f"p_away_team_over_{tag}"] = 1.0 - under["h"], 1.0 - under["a"]
+    return share.select(*keys, *[c.alias(n) for n, c in out.items()])
 
 
 def one_x_two(grid: DataFrame, keys: Sequence[str] = ("fixture_id",)) -> DataFrame:

@@ -144,8 +144,7 @@ def _ladder_sql() -> str:
 
 @query("g7_goal_market_ladder", _ladder_sql(), "grid")
 def g7(b):
-    grid = grids.poisson_grid(b.rates).withColumn("p", F.round("p", 12))
-    return rounded(grids.goal_market_ladder(grid))
+    return rounded(grids.goal_market_ladder(grids.poisson_grid(b.rates)))
 
 
 @query(
