@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchgrain.functions import scalars as S
 from matchgrain.operators import grids, ledger
+from matchgrain.plans.q_ledger import WALK_FORWARD
 from matchgrain.plans.registry import query, rounded
 
 SUMMARY = """SELECT fixture_id, count(*) AS cells, max(home_goals)::BIGINT AS max_goals, round(sum(p), 6) AS mass,
@@ -277,9 +278,15 @@ def walk_forward(b):
     return rates.join(grids.one_x_two(grids.fixed_poisson_grid(rates, max_goals=10)), "fixture_id")
 
 
-@query("w12_walk_forward_poisson")
+@query(
+    "w12_walk_forward_poisson",
+    f"""WITH {WALK_FORWARD}, c AS (SELECT fixture_id, h, a, exp(h * ln(home_rate) - home_rate - lgamma(h + 1)) * exp(a * ln(away_rate) - away_rate - lgamma(a + 1)) AS p
+      FROM wf CROSS JOIN range(11) x(h) CROSS JOIN range(11) y(a)),
+    o AS (SELECT fixture_id, sum(p) AS m, sum(CASE WHEN h > a THEN p ELSE 0 END) AS hw, sum(CASE WHEN h = a THEN p ELSE 0 END) AS d, sum(CASE WHEN h < a THEN p ELSE 0 END) AS aw FROM c GROUP BY 1)
+    SELECT fixture_id, round(home_rate, 6) AS home_rate, round(away_rate, 6) AS away_rate, round(hw / m, 6) AS p_home, round(d / m, 6) AS p_draw, round(aw / m, 6) AS p_away FROM wf JOIN o USING (fixture_id)""",
+    "matches",
+)
 def w12(b):
-    """Rates are checked by w12_walk_forward_rates, grids by the G queries."""
     return rounded(walk_forward(b))
 
 

@@ -189,9 +189,7 @@ def w5(b):
     )
 
 
-@query(
-    "w12_walk_forward_rates",
-    """WITH g AS (SELECT *, (home_goals IS NOT NULL)::INT AS done, coalesce(home_goals, 0) AS h, coalesce(away_goals, 0) AS a FROM matches),
+WALK_FORWARD = """g AS (SELECT *, (home_goals IS NOT NULL)::INT AS done, coalesce(home_goals, 0) AS h, coalesce(away_goals, 0) AS a FROM matches),
     s AS (SELECT *, 
       coalesce(sum(h + a) OVER (PARTITION BY league_id ORDER BY kickoff_utc, fixture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lg,
       coalesce(sum(done) OVER (PARTITION BY league_id ORDER BY kickoff_utc, fixture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ln,
@@ -199,10 +197,14 @@ def w5(b):
       coalesce(sum(a) OVER wa, 0) AS af, coalesce(sum(h) OVER wa, 0) AS aa, coalesce(sum(done) OVER wa, 0) AS an
       FROM g WINDOW wh AS (PARTITION BY league_id, home_team_id ORDER BY kickoff_utc, fixture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         wa AS (PARTITION BY league_id, away_team_id ORDER BY kickoff_utc, fixture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    r AS (SELECT *, (lg + 56.0::DOUBLE) / (2 * (ln + 20.0::DOUBLE)) AS lr FROM s)
-    SELECT fixture_id, round(lr, 6) AS league_rate,
-      round((hf + lr * 5) / (hn + 5.0::DOUBLE) * (aa + lr * 5) / (an + 5.0::DOUBLE) / lr, 6) AS home_rate,
-      round((af + lr * 5) / (an + 5.0::DOUBLE) * (ha + lr * 5) / (hn + 5.0::DOUBLE) / lr, 6) AS away_rate FROM r""",
+    r AS (SELECT *, (lg + 56.0::DOUBLE) / (2 * (ln + 20.0::DOUBLE)) AS lr FROM s),
+    wf AS (SELECT fixture_id, lr, (hf + lr * 5) / (hn + 5.0::DOUBLE) * (aa + lr * 5) / (an + 5.0::DOUBLE) / lr AS home_rate,
+      (af + lr * 5) / (an + 5.0::DOUBLE) * (ha + lr * 5) / (hn + 5.0::DOUBLE) / lr AS away_rate FROM r)"""
+
+
+@query(
+    "w12_walk_forward_rates",
+    f"WITH {WALK_FORWARD} SELECT fixture_id, round(lr, 6) AS league_rate, round(home_rate, 6) AS home_rate, round(away_rate, 6) AS away_rate FROM wf",
     "matches",
 )
 def w12_rates(b):

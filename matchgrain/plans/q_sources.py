@@ -1,4 +1,8 @@
-"""Source and payload queries; the nested payloads are built by Spark from the given tables."""
+"""Source and payload queries; the nested payloads are built by Spark from the given tables.
+
+Payload rows are pages of a bounded id range, as a provider would page them, so a payload
+never holds an unbounded group.
+"""
 
 from __future__ import annotations
 
@@ -53,7 +57,7 @@ def a2(b):
     return out.select("Source", "MatchDate", "League", "Extra")
 
 
-@query("a3_read_table_by_format")
+@query("a3_read_table_by_format", "SELECT * FROM orders")
 def a3(b):
     return tb.read_table(b.spark, f"{b.sf_dir}/orders.parquet")
 
@@ -126,7 +130,7 @@ def a10(b):
     k = F.col("s_suppkey")
     split = lambda: F.struct(F.lit(1).alias("played"), (k % 7).alias("win"), F.lit(0).alias("draw"), F.lit(0).alias("lose"))
     row = F.struct(k.alias("rank"), F.struct(k.alias("id"), F.col("s_name").alias("name")).alias("team"), (k % 10).alias("points"), split().alias("all"), split().alias("home"), split().alias("away"))
-    league = b.table("supplier").groupBy(F.col("s_nationkey").alias("league_id")).agg(F.array(F.collect_list(row)).alias("standings"))
+    league = b.table("supplier").groupBy(F.col("s_nationkey").alias("league_id"), F.floor(k / 50).alias("page")).agg(F.array(F.collect_list(row)).alias("standings"))
     return py.flatten_standings(league).select("league_id", "team_id", "team_name", "points", "home_win")
 
 
@@ -134,7 +138,7 @@ def a10(b):
 def a11(b):
     side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.concat(F.lit("Team "), F.col(f"{s}_team_id").cast("string")).alias("name"))
     event = F.struct(F.col("fixture_id").alias("id"), "status", F.date_format("kickoff_utc", "yyyy-MM-dd HH:mm").alias("local_time"), F.array(side("away"), side("home")).alias("competitors"))
-    payload = b.matches.groupBy(F.col("league_id").cast("string").alias("league"), F.col("kickoff_utc").cast("date").alias("d")).agg(F.collect_list(event).alias("events"))
+    payload = b.matches.groupBy(F.col("league_id").cast("string").alias("league"), F.floor(F.col("fixture_id") / 500).alias("page")).agg(F.collect_list(event).alias("events"))
     out = py.flatten_fixtures(payload, zone="Asia/Tokyo")
     return out.select("event_id", F.col("kickoff_utc").cast("timestamp_ntz").alias("kickoff_utc"), "home_key")
 
@@ -145,7 +149,7 @@ def a12(b):
         F.struct(F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("name"), F.col("event_type").alias("reason")).alias("player"),
         F.struct(F.concat(F.lit("t"), (F.col("user_id") % 60).cast("string")).alias("name")).alias("team"), F.struct(F.col("ts").cast("string").alias("date")).alias("fixture"),
     )
-    payload = b.table("events").groupBy((F.col("event_id") % 512).alias("page")).agg(F.collect_list(item).alias("response"))
+    payload = b.table("events").groupBy(F.floor(F.col("event_id") / 200).alias("page")).agg(F.collect_list(item).alias("response"))
     aliases = b.table("nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("alias"), F.col("n_name").alias("team_name"), F.lit(1).alias("priority"))
     return py.flatten_injuries(payload, aliases).select("Player", "Team", "Reason")
 
@@ -221,14 +225,14 @@ def a20(b):
 
 @query("a20_flatten_squads", "SELECT DISTINCT user_id AS team_id, event_id AS player_id, event_type AS position FROM events")
 def a20_squads(b):
-    squads = b.table("events").groupBy(F.col("user_id").alias("team_id"), (F.col("event_id") % 64).alias("page")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("position"))).alias("players"))
+    squads = b.table("events").groupBy(F.col("user_id").alias("team_id"), F.floor(F.col("event_id") / 2000).alias("page")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("position"))).alias("players"))
     return py.flatten_squads(squads)
 
 
 @query("a21_flatten_transfers", "SELECT o_custkey AS player_id, CAST(o_orderdate AS DATE) AS transfer_date, o_orderpriority AS type FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01'")
 def a21(b):
     t = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("type"), F.struct(F.lit("a").alias("in"), F.lit("b").alias("out")).alias("teams"))
-    payload = b.table("orders").groupBy(F.col("o_custkey").alias("player_id")).agg(F.collect_list(t).alias("transfers"))
+    payload = b.table("orders").groupBy(F.col("o_custkey").alias("player_id"), F.floor(F.col("o_orderkey") / 1000).alias("page")).agg(F.collect_list(t).alias("transfers"))
     return py.flatten_transfers(payload, F.lit("1998-07-01").cast("date")).select("player_id", "transfer_date", "type")
 
 

@@ -105,9 +105,11 @@ def w15(b):
     return rounded(W.top_drivers(d, 2))
 
 
-@query("w16_sequence_dataset")
+@query("w16_sequence_dataset", """WITH c AS (SELECT *, row_number() OVER w AS i, list([goals_for, goals_against]) OVER (PARTITION BY team_id ORDER BY kickoff_utc, fixture_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS s FROM events2 WHERE result IS NOT NULL WINDOW w AS (PARTITION BY team_id ORDER BY kickoff_utc, fixture_id))
+  SELECT team_id, fixture_id, kickoff_utc, array_to_string(flatten(s), ',') AS sequence, CASE result WHEN 'W' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS label FROM c WHERE i > 5""", "events2")
 def w16(b):
-    return W.sequence_dataset(ledger.team_events(b.matches), ["goals_for", "goals_against", "goal_diff", "points"])
+    out = W.sequence_dataset(ledger.team_events(b.matches), ["goals_for", "goals_against"])
+    return out.withColumn("sequence", F.array_join(F.transform("sequence", lambda x: x.cast("int").cast("string")), ","))
 
 
 @query("w17_chronological_split", """WITH n AS (SELECT CAST(kickoff_utc AS DATE) AS d, row_number() OVER (ORDER BY CAST(kickoff_utc AS DATE)) - 1 AS i, count(*) OVER () AS n FROM matches), c AS (SELECT d AS cut FROM n WHERE i = n - greatest(1, ceil(n * 0.2))),
