@@ -12,7 +12,11 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where none is set."""
+    """`spark.checkpoint.dir` of the session.
+
+    Where it is not set, a session with a local master (one machine, as in tests) gets a temporary
+    folder; on a cluster that is an error, as no other machine would see what is written there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -20,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="matchgrain-"))
     return context.getCheckpointDir()
 
