@@ -12,7 +12,7 @@ Work follows the number of documents, not the number of pairs:
   The links found give components. What lies in the largest component of its bucket needs no more
   comparison with its own kind; only members outside it (few, as a rule) meet the other members, in
   blocks, inside the join condition: different components, sizes and the count shared with the hub that
-  allow the threshold, and close bitmaps. Pairs that fail are never rows.
+  allow the threshold, close bitmaps, and the first of their common buckets. Pairs that fail are never rows.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, percent: int = 85, samples: int = 256, rows: int = 5, bands: int = 28, bits: int = 512, spread: float = 5.0
+    docs: DataFrame, words: int = 3, percent: int = 85, samples: int = 1024, rows: int = 5, bands: int = 28, bits: int = 2048, spread: float = 5.0
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id, n_links) for each row of `docs` (doc_id, text).
 
@@ -170,7 +170,7 @@ def near_duplicates(
     fame = seats.groupBy("id").agg(F.sum("members").alias("fame"))
     famed = seats.join(fame, "id")
     hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("top")).select("bucket", (-F.col("top.less")).alias("hub"))
-    facts = classes.select("id", "n", "sketch")
+    facts = classes.select("id", "n", "sketch", "bands")
     seats = cut_lineage(seats.join(hubs, "bucket"))
     spokes = seats.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     most = most_different_bits(samples, bits, percent / 100, spread)
@@ -220,7 +220,8 @@ def near_duplicates(
             & (F.col("a.id") != F.col("a.hub"))
             & (F.col("b.id") != F.col("b.hub"))
             & (100 * possible >= percent * (F.col("a.n") + F.col("b.n") - possible))
-            & (apart("a", "b") <= most),
+            & (apart("a", "b") <= most)
+            & (F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.bucket")),  # one of their buckets answers for a pair
         )
         .select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
         .distinct()
