@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchgrain.llm import minhash
+from matchgrain.functions.storage import cut_lineage
+from matchgrain.llm import bpe, lines, minhash, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +35,123 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id
 FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id
 """
 
-QUERIES = {"op3_minhash_odd_sketch": op3_minhash_odd_sketch}
-ORACLES = {"op3_minhash_odd_sketch": OP3_SQL}
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = cut_lineage(quality.with_signals(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
+    cutoffs = quality.fit_cutoffs(signed, table(spark, sf_dir, "labels"))
+    judged = quality.judge(signed, cutoffs)
+    return judged.select(
+        "doc_id", *[f"_signals.{c}" for c in quality.COUNTS], quality.base_failed(judged["_signals"]).alias("base_failed"), F.col("_kept").alias("kept")
+    )
+
+
+#: Views of the rules on a relation `src` (doc_id, lang, text) and the labels; the last one is `judged`.
+QUALITY_VIEWS = r"""
+q_words AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM src
+), q_runs AS (
+  SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS run FROM q_words, unnest(generate_series(1, len(ws) - 7)) AS t(i) WHERE len(ws) > 8
+), q_twins AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS n FROM q_runs) WHERE n > 1
+), q_cover AS (
+  SELECT rid, sum(w) AS n FROM (SELECT rid, least(8, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), 8)) AS w FROM q_twins) GROUP BY 1
+), q_lines AS (
+  SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM q_words
+), q_signals AS (
+  SELECT w.rid, doc_id, coalesce(lang, '') AS stratum, len(ws)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
+  FROM q_words AS w JOIN q_lines AS l ON l.rid = w.rid LEFT JOIN q_cover AS c ON c.rid = w.rid
+), q_based AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM q_signals),
+q_values AS (
+  SELECT rid, doc_id, stratum, base_failed, 'symbols' AS rule, coalesce(n_symbols / nullif(word_chars, 0), 0.0) AS x, 0.02::DOUBLE AS step FROM q_based
+  UNION ALL SELECT rid, doc_id, stratum, base_failed, 'dup_lines', coalesce(n_dup_lines / nullif(n_lines, 0), 0.0), 0.02::DOUBLE FROM q_based
+  UNION ALL SELECT rid, doc_id, stratum, base_failed, 'repeats', coalesce(n_repeat_words / nullif(n_words, 0), 0.0), 0.02::DOUBLE FROM q_based
+  UNION ALL SELECT rid, doc_id, stratum, base_failed, 'long_words', coalesce(word_chars / nullif(n_words, 0), 0.0), 0.5::DOUBLE FROM q_based
+), q_good AS (
+  SELECT * FROM q_values WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+), q_sizes AS (SELECT stratum, rule, count(*) AS n FROM q_good GROUP BY 1, 2),
+q_above AS (
+  SELECT g.stratum, g.rule, j, count(*) FILTER (WHERE x > j * step) AS k FROM q_good AS g, unnest(generate_series(1, 50)) AS t(j) GROUP BY 1, 2, 3
+), q_tail AS (
+  SELECT a.stratum, a.rule, a.j, CASE WHEN k < n * 0.0125 THEN
+    list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(1 - 0.0125)))) ELSE 1 END AS p
+  FROM q_above AS a JOIN q_sizes AS s ON s.stratum = a.stratum AND s.rule = a.rule
+), q_cuts AS (SELECT stratum, rule, min(j) AS j FROM q_tail WHERE p <= 0.05 / (SELECT count(*) FROM q_sizes) GROUP BY 1, 2),
+q_over AS (SELECT v.rid FROM q_values AS v JOIN q_cuts AS c ON c.stratum = v.stratum AND c.rule = v.rule WHERE v.x > c.j * v.step GROUP BY 1),
+judged AS (SELECT b.*, NOT base_failed AND b.rid NOT IN (SELECT rid FROM q_over) AS kept FROM q_based AS b)
+"""
+
+OP8_SQL = f"""
+WITH src AS (SELECT doc_id, lang, text FROM documents), {QUALITY_VIEWS}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
+"""
+
+
+def op2_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+def word_bpe() -> str:
+    """Path of the public vocabulary that the BPE queries use; it is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
+#: Views of the line rule on a relation `src` (doc_id, text); the last one is `t_drops` (text_key, line_no).
+LINE_VIEWS = r"""
+t_lines AS (
+  SELECT md5(text) AS text_key, doc_id, i - 1 AS line_no,
+    list_transform(regexp_extract_all(string_split(text, chr(10))[i], '[^ 	-
+]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM src, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i) WHERE text IS NOT NULL
+), t_leaves AS (
+  SELECT text_key, line_no, min(doc_id) AS doc_id, any_value(tokens) AS tokens, len(any_value(tokens)) || ' ' || array_to_string(any_value(tokens)[1:4], ' ') AS leaf
+  FROM t_lines WHERE len(tokens) > 0 GROUP BY 1, 2
+), t_owned AS (
+  SELECT *, array_to_string(tokens, ' ') AS content FROM t_leaves WHERE leaf IN (SELECT leaf FROM t_leaves GROUP BY 1 HAVING count(DISTINCT text_key) >= 5)
+), t_contents AS (SELECT leaf, content, any_value(tokens) AS tokens FROM t_owned GROUP BY 1, 2),
+t_votes AS (
+  SELECT leaf, i, tokens[i] AS token, count(*) AS n FROM t_contents, unnest(generate_series(1, len(tokens))) AS u(i) GROUP BY 1, 2, 3
+), t_constants AS (
+  SELECT leaf, i, CASE WHEN 2 * max(n) >= sum(n) THEN max(struct_pack(n := n, token := token)).token END AS token FROM t_votes GROUP BY 1, 2
+), t_agreed AS (
+  SELECT c.leaf, c.content, count(*) FILTER (WHERE c.tokens[k.i] = k.token) AS same, len(any_value(c.tokens)) AS m
+  FROM t_contents AS c JOIN t_constants AS k ON k.leaf = c.leaf GROUP BY 1, 2
+), t_placed AS (
+  SELECT o.text_key, o.line_no, o.doc_id, o.leaf, CASE WHEN same >= 0.7::DOUBLE * m THEN '' ELSE o.content END AS template
+  FROM t_owned AS o JOIN t_agreed AS a ON a.leaf = o.leaf AND a.content = o.content
+), t_support AS (
+  SELECT leaf, template, count(DISTINCT text_key) AS texts, (min(struct_pack(a := doc_id IS NULL, b := doc_id, c := text_key))).c AS owner FROM t_placed GROUP BY 1, 2
+), t_drops AS (
+  SELECT DISTINCT p.text_key, p.line_no FROM t_placed AS p JOIN t_support AS s ON s.leaf = p.leaf AND s.template = p.template WHERE texts >= 5 AND p.text_key <> owner
+)
+"""
+
+OP2_SQL = f"""
+WITH src AS (SELECT doc_id, text FROM documents), {LINE_VIEWS},
+t_lists AS (SELECT text_key, list(line_no) AS gone FROM t_drops GROUP BY 1)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(l.gone), 0)::BIGINT AS n_dropped,
+  md5(coalesce(CASE WHEN l.gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(l.gone, i - 1)), chr(10)) END, '')) AS kept_md5
+FROM src AS d LEFT JOIN t_lists AS l ON l.text_key = md5(d.text)
+"""
+
+QUERIES = {
+    "op2_template_tree": op2_template_tree,
+    "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
+    "op6_trie_bpe": op6_trie_bpe,
+    "op8_risk_controlled_rules": op8_risk_controlled_rules,
+}
+ORACLES = {
+    "op2_template_tree": OP2_SQL,
+    "op3_minhash_odd_sketch": OP3_SQL,
+    "op8_risk_controlled_rules": OP8_SQL,
+}
