@@ -154,3 +154,13 @@ def judge(signed: DataFrame, cutoffs: DataFrame, stratum: str = "lang", signals:
     over = [F.coalesce(_rule(signals, r) > F.col(f"{into}_{r}"), F.lit(False)) for r in RULES]
     rejected = over[0] | over[1] | over[2] | over[3]
     return joined.withColumn(into, ~base_failed(F.col(signals)) & ~rejected).drop(f"{into}_s", *[f"{into}_{r}" for r in RULES])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of `docs`, with all their columns, that pass the base rule and the fitted cutoffs.
+
+    Signals of all rows are written once without the texts, to fit the cutoffs; the texts are then judged in place, so
+    they are not shuffled.
+    """
+    signed = cut_lineage(with_signals(docs.select("doc_id", stratum, "text")).drop("text"))
+    return judge(with_signals(docs), fit_cutoffs(signed, labels, stratum), stratum).where("_kept").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions.storage import cut_lineage
-from matchgrain.llm import bpe, lines, minhash, quality
+from matchgrain.llm import bpe, chat, decontaminate, fmindex, lines, minhash, quality, resharding, suffixes, tables, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,14 +144,90 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 FROM src AS d LEFT JOIN t_lists AS l ON l.text_key = md5(d.text)
 """
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+    coalesce(floor(turn / 64), -1)::BIGINT AS part FROM conversations
+), speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+pieces AS (
+  SELECT s.*, p.perspective, s.role = p.perspective AS target,
+    '<|im_start|>' || CASE WHEN s.role = p.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system' ELSE 'user name=' || s.role END || chr(10) AS head
+  FROM said AS s JOIN speakers AS p ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+  SELECT *, length(head) + length(text) + 11 AS n,
+    row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text) AS k FROM pieces
+), walked AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, perspective, part ORDER BY k) - n AS pos FROM placed),
+parts AS (
+  SELECT conv_id, perspective, part, count(*) AS n_turns, coalesce(sum(length(text) + 10) FILTER (WHERE target), 0)::BIGINT AS n_target,
+    string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS text, sum(n)::BIGINT AS n_chars,
+    coalesce(list(struct_pack("start" := (pos + length(head))::INTEGER, "end" := (pos + length(head) + length(text) + 10)::INTEGER) ORDER BY k) FILTER (WHERE target), []) AS mask
+  FROM walked GROUP BY 1, 2, 3
+)
+SELECT conv_id, perspective, part, n_turns, n_target, text, mask,
+  (sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part) - n_chars)::BIGINT AS char_start FROM parts
+"""
+
+
+def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), full=False).withColumnRenamed("kept", "kept_sha256")
+
+
+def op7_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old shards: 12, by a hash of the source; new: 16, by row counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(12))
+    rows, _ = resharding.reshard(docs, old)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
+def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_earlier_passages(table(spark, sf_dir, "documents"), full=False).withColumnRenamed("kept", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM w, unnest(generate_series(1, len(ws) - 12)) AS t(i) WHERE len(ws) >= 13
+), late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS cut FROM late, unnest(generate_series(0, 12)) AS t(k) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: cut IS NULL OR NOT list_contains(cut, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
+"""
+
+
+def op10_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tables.fresh_folder(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, word_bpe())
+    return tokenfile.checksums(tokenfile.read_tokens(spark, folder))
+
+
 QUERIES = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_template_tree": op2_template_tree,
     "op3_minhash_odd_sketch": op3_minhash_odd_sketch,
+    "op4_simhash_windows": op4_simhash_windows,
+    "op5_linear_grouping": op5_linear_grouping,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_min_cost_resharding": op7_min_cost_resharding,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
+    "op9_fm_index": op9_fm_index,
+    "op10_parquet_tokens": op10_parquet_tokens,
 }
 ORACLES = {
+    "op1_perspective_rotation": OP1_SQL,
     "op2_template_tree": OP2_SQL,
     "op3_minhash_odd_sketch": OP3_SQL,
     "op8_risk_controlled_rules": OP8_SQL,
+    "op9_fm_index": OP9_SQL,
 }
