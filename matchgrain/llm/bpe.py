@@ -31,8 +31,8 @@ from matchgrain.llm.textcore import bounded
 _WHITE = "\t-\r \x85\xa0  -     　"
 _ODD = regex.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(f"[^{_WHITE}]+")
-#: Chunks a worker keeps; beyond it the memory of chunks starts anew, which costs time, not results.
-KEEP = 400_000
+#: Chunks, and words, that a worker remembers in each of two generations; what is forgotten is encoded again.
+KEEP = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,6 +42,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def chunks_of(text: str | None) -> list[str]:
+    """What lies between white space."""
+    return [] if not text else text.split() if not _ODD.search(text) else _CHUNK.findall(text)
+
+
+class Recent:
+    """Memory in two generations: when the young one is full it becomes the old one, and what is used again moves up."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) >= self.keep:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not remembered; all others are young afterwards."""
+        young, old, absent = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                value = old.get(key)
+                if value is None:
+                    absent.append(key)
+                else:
+                    young[key] = value
+        return absent
+
+
 class TrieEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -77,8 +105,7 @@ class TrieEncoder:
         self.letters = byte_letters()
         self.fit: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.words, self.chunks = Recent(KEEP), Recent(KEEP)  # ids of each
 
     def symbols(self, token: int) -> list[str]:
         text = self.strings[token]
@@ -127,7 +154,7 @@ class TrieEncoder:
         self.fit[key] = known
         return known
 
-    def add_words(self, words: set[str]) -> None:
+    def add_words(self, words: list[str]) -> None:
         """Encode words (strings of byte letters) by one depth-first walk."""
         before, states = "", [(-1, 0)]  # states[k]: last token of the prefix of length k, and its start
         compatible, stands, final, longest = self.compatible, self.stands, self.final, self.longest
@@ -158,7 +185,7 @@ class TrieEncoder:
             while start:
                 token, start = states[start]
                 path.append(token)
-            self.words[word] = tuple(reversed(path))
+            self.words.young[word] = tuple(reversed(path))
             before = word
 
     def pieces(self, chunk: str) -> list[str | int]:
@@ -179,30 +206,30 @@ class TrieEncoder:
                 out.append(word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode()))
         return out
 
-    def add_chunks(self, chunks: set[str]) -> None:
+    def add_chunks(self, chunks: list[str]) -> None:
         cut = {c: self.pieces(c) for c in chunks}
-        self.add_words({w for ps in cut.values() for w in ps if isinstance(w, str) and w not in self.words})
-        shown, strings = self.shown, self.strings
+        self.words.turn()
+        self.add_words(self.words.missing({w for ps in cut.values() for w in ps if isinstance(w, str)}))
+        words, young = self.words.young, self.chunks.young
         for chunk, ps in cut.items():
             if len(ps) == 1 and isinstance(ps[0], str):
-                ids = self.words[ps[0]]
-                self.chunks[chunk] = (len(ids), " ".join([shown[i] for i in ids]), " ".join([strings[i] for i in ids]), ids)
-                continue
-            ids = tuple(i for p in ps for i in ((p,) if isinstance(p, int) else self.words[p]))
-            self.chunks[chunk] = (len(ids), " ".join([shown[i] for i in ids]), " ".join([strings[i] for i in ids]), ids)
-
-    def encoded(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str, tuple[int, ...]]]]:
-        """For each text the entries of its chunks: (number of tokens, ids, decoded string, ids as numbers)."""
-        split = [[] if not t else t.split() if not _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        if len(self.chunks) > KEEP:
-            self.chunks.clear()
-            self.words.clear()
-        fresh = {c for chunks in split for c in chunks}
-        fresh.difference_update(self.chunks)
-        self.add_chunks(fresh)
-        entries = self.chunks
+                young[chunk] = words[ps[0]]
+            else:
+                young[chunk] = tuple(i for p in ps for i in ((p,) if isinstance(p, int) else words[p]))
+
+    def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        split = [chunks_of(t) for t in texts]
+        self.chunks.turn()
+        self.add_chunks(self.chunks.missing({c for chunks in split for c in chunks}))
+        young = self.chunks.young
         for chunks in split:
-            yield [entries[c] for c in chunks]
+            yield [i for c in chunks for i in young[c]]
+
+    def decoded(self, ids: list[int]) -> str:
+        """What the library's decoder makes of ids, special tokens included: the token strings joined by spaces."""
+        strings = self.strings
+        return " ".join([strings[i] for i in ids])
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -218,19 +245,18 @@ def encoder(path: str) -> TrieEncoder:
 def _digests(batches: Iterator[pa.RecordBatch], path: str, full: bool):
     bpe = encoder(path)
     for batch in bounded(batches, "text", 2 << 20):
-        counts, ids, decoded, lists = [], [], [], []
-        for entries in bpe.encoded(batch.column(1).to_pylist()):
-            counts.append(sum([e[0] for e in entries]))
-            shown, back = " ".join([e[1] for e in entries]), " ".join([e[2] for e in entries])
-            ids.append(hashlib.sha256(shown.encode()).hexdigest())
-            decoded.append(back if full else hashlib.sha256(back.encode()).hexdigest())
+        counts, shown, decoded = [], [], []
+        for ids in bpe.encoded(batch.column(1).to_pylist()):
+            counts.append(len(ids))
+            back = bpe.decoded(ids)
             if full:
-                lists.append(np.fromiter((i for e in entries for i in e[3]), np.int32))
-        arrays = [batch.column(0), pa.array(counts, pa.int64())]
-        if full:
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-        else:
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                shown.append(np.array(ids, np.int32))
+                decoded.append(back)
+            else:
+                shown.append(hashlib.sha256(" ".join([bpe.shown[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+        arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shown, pa.list_(pa.int32()) if full else pa.string()), pa.array(decoded, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
