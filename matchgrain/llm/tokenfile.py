@@ -12,6 +12,7 @@ its local start plus the ids of all parts before; the part totals are one row a
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,18 +23,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchgrain.llm.bpe import encoder
+from matchgrain.functions.storage import cut_lineage
+from matchgrain.llm.bpe import KEEP, Recent, chunks_of
 from matchgrain.llm.textcore import bounded
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
+#: Files whose totals are broadcast at most; more are joined.
+FEW_FILES = 100_000
 #: Text bytes for one file; bytes of a row group and of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES = 32 << 20, 16 << 20, 64 << 10
 
 
+class LibraryEncoder:
+    """The `tokenizers` library, asked once for each distinct chunk between white space; a vocabulary of words splits there."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library, self.chunks = Tokenizer.from_file(path), Recent(KEEP)
+        self.library.no_truncation(), self.library.no_padding()
+
+    def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
+        split = [chunks_of(t) for t in texts]
+        self.chunks.turn()
+        fresh = self.chunks.missing({c for chunks in split for c in chunks})
+        young = self.chunks.young
+        for base in range(0, len(fresh), 10_000):
+            part = fresh[base : base + 10_000]
+            young.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
+        for chunks in split:
+            yield [i for c in chunks for i in young[c]]
+
+
+_LIBRARIES: dict[str, LibraryEncoder] = {}
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int):
-    bpe, part, start = encoder(path), TaskContext.get().partitionId(), 0
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = LibraryEncoder(path)
+    bpe, part, start = _LIBRARIES[path], TaskContext.get().partitionId(), 0
     for batch in bounded(batches, "text", 2 << 20):
-        lists = [np.array([i for e in entries for i in e[3]] + [end], np.int32) for entries in bpe.encoded(batch.column(1).to_pylist())]
+        lists = [np.array([*ids, end], np.int32) for ids in bpe.encoded(batch.column(1).to_pylist())]
         sizes = np.array([len(x) for x in lists], np.int64)
         ends = start + np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays(
@@ -50,7 +81,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int):
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 1, file_bytes: int = FILE_BYTES) -> None:
-    """Encode each row of `docs` (doc_id, text) with the vocabulary at `path`, append id `end`, and write the data set.
+    """Encode each row of `docs` (doc_id, text) with the vocabulary at `path`, a `tokenizers` file that drops white space, append id `end`, and write the data set.
 
     Rows lie in ascending order of doc_id (null first; equal ids by a hash of the text); every row is a document of its
     own, repeated ones too; a null or empty text is only the end id. Other columns are not kept.
@@ -86,7 +117,10 @@ def read_tokens(spark: SparkSession, folder: str, doc_ids: list[int] | None = No
 def _with_start(rows: DataFrame, everything: DataFrame) -> DataFrame:
     # One row a file: its window is the one task that sees all files.
     totals = everything.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("total"))
+    totals = cut_lineage(totals)
     bases = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
+    if totals.count() <= FEW_FILES:
+        bases = F.broadcast(bases)
     return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start")
 
 
