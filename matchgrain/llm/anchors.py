@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from matchgrain.llm.textcore import mix
-
 
 def sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
     """Minimum of every run of `length` values, by doubling."""
@@ -25,7 +23,7 @@ def sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
 def anchor_runs(grams: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, anchor place, first window, last window) of each run of windows of a text that share their anchor.
 
-    grams: hash of the run of `gram` symbols at each place of the joined texts; offsets: where each text begins.
+    grams: well mixed hash of the run of `gram` symbols at each place of the joined texts; offsets: where each text begins.
     Places and windows are places in the joined texts.
     """
     none = np.empty(0, np.int64)
@@ -33,7 +31,7 @@ def anchor_runs(grams: np.ndarray, offsets: np.ndarray, width: int, gram: int) -
     windows = np.maximum(lengths - width + 1, 0)
     if not windows.sum():
         return none, none, none, none
-    order = (mix(grams) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+    order = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_minimum(order, width - gram + 1)
     text = np.repeat(np.arange(len(lengths)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[:-1][text]

@@ -27,7 +27,7 @@ from matchgrain.functions.storage import cut_lineage
 from matchgrain.llm.anchors import anchor_runs, covered
 from matchgrain.llm.textcore import bounded, hashed_words, mix, run_hashes, words_of
 
-GRAM = 6
+GRAM = 4
 #: Symbols of an index at which a task begins the next one.
 SHARD = 400_000
 
@@ -233,6 +233,7 @@ def remove_earlier_passages(docs: DataFrame, window: int = 13, busy: int = 5000,
         .agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     )
     verdict = facts.select("doc_id", "text_key", "copy").join(starts, ["doc_id", "text_key"], "left").where("copy or starts is not null")
-    return rows.join(verdict, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "copy").mapInArrow(
-        lambda b: _finish(b, window, full), "doc_id long, n_words long, n_removed long, kept string"
-    )
+    # Both joins of texts have `usable` as it stands on one side, so Spark shuffles the texts once.
+    judged = usable.join(verdict, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "copy")
+    others = rows.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copy"))
+    return judged.union(others).mapInArrow(lambda b: _finish(b, window, full), "doc_id long, n_words long, n_removed long, kept string")
