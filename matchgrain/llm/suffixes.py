@@ -281,6 +281,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, busy: int = 5000, full: b
         .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     )
     verdict = facts.select("text_key", "several").join(ranges, "text_key", "left").where("several or ranges is not null")
-    return rows.join(verdict, "text_key", "left").select("doc_id", "text", "ranges", "several").mapInArrow(
+    # Both joins of texts have `long_` as it stands on one side, so Spark shuffles the texts once.
+    judged = long_.join(verdict, "text_key", "left").select("doc_id", "text", "ranges", "several")
+    short = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) < window)
+    short = short.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("ranges"), F.lit(None).cast("boolean").alias("several"))
+    return judged.union(short).mapInArrow(
         lambda b: _finish(b, window, full), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if full else 'string'}"
     )
