@@ -137,7 +137,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, percent: int = 85, samples: int = 1024, rows: int = 5, bands: int = 28, bits: int = 2048, spread: float = 5.0
+    docs: DataFrame, words: int = 3, percent: int = 85, samples: int = 1024, rows: int = 4, bands: int = 18, bits: int = 2048, spread: float = 5.0
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id, n_links) for each row of `docs` (doc_id, text).
 
@@ -148,7 +148,7 @@ def near_duplicates(
     no part: component_id is null and the row is kept. Rows that repeat a doc_id each come out once; as
     one id has one text in `documents`, the set of any of them stands for the id. Other columns are ignored.
     With `bands` bands of `rows` samples a pair at the threshold misses every bucket with a chance of
-    (1 - t^rows)^bands, 7e-8 at the defaults, and is cut by the bitmaps with about 3e-7.
+    (1 - t^rows)^bands, 2e-6 at the defaults, and is cut by the bitmaps with about 3e-7.
     """
     if bands * rows > samples or bits % 64:
         raise ValueError("bands * rows may not exceed samples; bits is a multiple of 64")
