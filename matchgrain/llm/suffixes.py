@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.functions.storage import cut_lineage
-from matchgrain.llm.anchors import anchor_runs, covered, sliding_minimum
+from matchgrain.llm.anchors import anchor_runs, sliding_minimum
 from matchgrain.llm.gsaca import suffix_array
 from matchgrain.llm.textcore import bounded, mix
 
