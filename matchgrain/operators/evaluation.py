@@ -55,7 +55,7 @@ def _checked(df: DataFrame, p=P3) -> DataFrame:
     from matchgrain.functions.contracts import guard
 
     total = F.col(p[0]) + F.col(p[1]) + F.col(p[2])
-    return guard(df, (F.least(*p) >= 0) & (F.abs(total - 1) <= 1e-8), "each probability row must be non-negative and sum to one")
+    return guard(df, (F.least(*p) >= 0) & (F.abs(total - 1) <= 1e-8), "forecast probabilities need to be at least 0 with sum 1")
 
 
 def _panel(target: str) -> list[Column]:
@@ -123,7 +123,7 @@ def assign_cohorts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     from matchgrain.functions.contracts import days_between, guard
 
     if "issued_at" in df.columns:
-        df = guard(df, F.col("issued_at") < F.col("kickoff_utc"), "evaluation cohorts require pre-kickoff forecasts")
+        df = guard(df, F.col("issued_at") < F.col("kickoff_utc"), "a forecast was issued at or after kickoff")
     at = df.agg(F.max("kickoff_utc")).scalar() if as_of is None else as_of
     has = lambda c: c in df.columns
     age = days_between(at, F.col("kickoff_utc"))
@@ -157,10 +157,15 @@ def cohort_metrics(tagged: DataFrame, *, minimum_sample: int = 20, target: str =
 
 
 def population_stability_index(reference: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """V7: PSI over reference quantile bins, with severity. Edges are `bins + 1` numbers."""
+    """V7: PSI over reference quantile bins, with severity. Edges are `bins + 1` numbers.
+
+    Null, NaN and infinite values are left out; an empty side fails the job.
+    """
+    from matchgrain.functions.contracts import guard
     from matchgrain.operators.ranks import exact_quantiles
 
-    finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    number = F.col(value).cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     reference, current = reference.where(finite), current.where(finite)
     names = {f"q{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(reference.withColumn("_z", F.lit(0)), ["_z"], value, names).select(
@@ -176,6 +181,8 @@ def population_stability_index(reference: DataFrame, current: DataFrame, value:
     frame = counted.sparkSession.range(bins).select(F.col("id").cast("int").alias("_b")).join(counted.drop("_m"), "_b", "left")
     share = lambda c, t: F.greatest(F.least(F.coalesce(F.col(c), F.lit(0)) / totals.select(t).scalar(), F.lit(1.0)), F.lit(1e-6))
     shares = frame.select("_b", share("_r", "r").alias("r"), share("_n", "n").alias("n"), totals.select("m").scalar().alias("m")).where(F.col("_b") < F.col("m") - 1)
+    some = totals.select((F.coalesce("r", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)).scalar()
+    shares = guard(shares, some, "drift needs values on both sides")
     psi = shares.agg(F.coalesce(F.sum((F.col("n") - F.col("r")) * F.ln(F.col("n") / F.col("r"))), F.lit(0.0)).alias("psi"), F.max("m").alias("m"))
     psi = psi.select(F.when(F.col("m") < 3, 0.0).otherwise(F.col("psi")).alias("psi"))
     return psi.withColumn("severity", F.when(F.col("psi") < 0.10, "stable").when(F.col("psi") < 0.25, "watch").otherwise("action_required"))
@@ -273,8 +280,8 @@ def release_gate(champion: DataFrame, challenger: DataFrame, *, champion_id: str
     a = champion.select("fixture_id", "kickoff_utc", F.col("target").alias("_ya"), *cohort, *[F.col(c).alias(f"a_{c}") for c in P3])
     b = challenger.select("fixture_id", F.col("target").alias("_yb"), *[F.col(c).alias(f"b_{c}") for c in P3])
     joined = a.join(b, "fixture_id", "full")
-    joined = guard(joined, F.col("_ya").isNotNull() & F.col("_yb").isNotNull(), "candidate coverage differs")
-    joined = guard(joined, F.col("_ya") == F.col("_yb"), "champion and challenger targets disagree").withColumnRenamed("_ya", "target")
+    joined = guard(joined, F.col("_ya").isNotNull() & F.col("_yb").isNotNull(), "champion and challenger cover different fixtures")
+    joined = guard(joined, F.col("_ya") == F.col("_yb"), "one fixture has two different results").withColumnRenamed("_ya", "target")
     scored = joined
     for side in ("a", "b"):
         s = row_scores("target", tuple(f"{side}_{c}" for c in P3))

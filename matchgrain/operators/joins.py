@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchgrain.functions import scalars as S
 from matchgrain.functions.contracts import guard, require, seconds
+from matchgrain.functions.storage import cut_lineage
 from matchgrain.operators import grids
 from matchgrain.operators.ordered import asof_prior, prior_totals, time_bucket
 
@@ -33,11 +34,11 @@ def resolve_entities(rows: DataFrame, aliases: DataFrame, canonical: DataFrame,
         .groupBy("_p", "_k", "_d")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_alias"))
     )
-    hits = guard(hits, F.col("_n") == 1, "Ambiguous aliases for one provider name and day").drop("_n")
+    hits = guard(hits, F.col("_n") == 1, "a provider name has two teams on one day").drop("_n")
     names = canonical.groupBy(S.normalize_name("canonical_name").alias("_k")).agg(
         F.count_distinct("team_id").alias("_n"), F.max("team_id").alias("_canon")
     )
-    names = guard(names, F.col("_n") == 1, "Ambiguous canonical team name").drop("_n")
+    names = guard(names, F.col("_n") == 1, "two teams share one canonical name").drop("_n")
     joined = keyed.join(hits, ["_p", "_k", "_d"], "left").join(names, "_k", "left")
     status = (
         F.when(F.col("_alias").isNotNull(), "provider_alias").when(F.col("_canon").isNotNull(), "exact_canonical").otherwise("unresolved")
@@ -290,37 +291,49 @@ def upcoming_feature_matrix(
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(matrix)
 
 
+#: Half-lives of a span of C15: its weights and those of the span before stay within the range of doubles.
+SPAN = 300
+
+
 def action_features_at_kickoff(summaries: DataFrame, fixtures: DataFrame, *, half_life_days: float = 90.0) -> DataFrame:
     """Decayed action value per action of a team over its earlier fixtures.
 
-    Weights 2^(t / half-life) differ from 2^(-age / half-life) by a factor that cancels, so
-    two running sums serve every kickoff. Summaries must be observed at or after their own
-    kickoff (see `action_summary`), which keeps a fixture out of its own history.
+    The decay since the last event cancels in the ratio, so a kickoff takes the ratio that held right after
+    the latest event before it. The ratio after an event is two running sums of weights 2^(t / half-life), with t
+    counted from the start of a span of SPAN half-lives, so no weight overflows; the events of the span before come along,
+    and older ones weigh less than 2^-SPAN. Summaries must be observed at or after their own kickoff
+    (see `action_summary`), which keeps a fixture out of its own history.
     """
     if half_life_days <= 0:
-        raise ValueError("half_life_days must be positive")
+        raise ValueError(f"a half-life is a positive number of days, not {half_life_days}")
     own = fixtures.select("fixture_id", F.col("kickoff_utc").alias("_own"))
     checked = guard(
         summaries.join(own, "fixture_id", "left"), F.col("_own").isNull() | (F.col("observed_at") >= F.col("_own")),
-        "event observation predates its source fixture kickoff",
+        "an action summary was observed before its fixture began",
     ).drop("_own")
+    order = ["_t", "_k", "_f"]
     past = checked.select(
         "team_id", F.col("observed_at").alias("_t"), F.lit(1).alias("_k"), F.col("fixture_id").alias("_f"),
         F.col("action_value").cast("double").alias("_v"), F.col("actions").cast("double").alias("_n"),
     )
+    age = seconds("_t") / (86400.0 * half_life_days)
+    home = F.floor(age / SPAN).cast("bigint")
+    spans = past.withColumn("_home", home).withColumn("_span", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    w = F.pow(F.lit(2.0), age - F.col("_span") * float(SPAN))
+    weighed = spans.withColumns({"_wv": w * F.col("_v"), "_wn": w * F.col("_n")})
+    after = prior_totals(cut_lineage(weighed), ["team_id", "_span"], order, time_bucket("_t"), sums={"_sv": F.col("_wv"), "_sn": F.col("_wn")}).where("_span = _home")
+    top, bottom = F.col("_sv") + F.coalesce("_wv", F.lit(0.0)), F.col("_sn") + F.coalesce("_wn", F.lit(0.0))
+    states = after.select("team_id", *order, "_n", F.when(bottom > 0, top / bottom).alias("_ratio"))
     targets = fixtures.select(
         "fixture_id", F.col("kickoff_utc").alias("_t"), F.lit(0).alias("_k"), F.col("fixture_id").alias("_f"),
         F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id")) for s in ("home", "away")])),
     )
-    w = F.pow(F.lit(2.0), (seconds("_t") / 86400.0 - 10957.0) / half_life_days)
     walked = prior_totals(
-        past.unionByName(targets, allowMissingColumns=True), ["team_id"], ["_t", "_k", "_f"], time_bucket("_t"),
-        sums={"_wv": w * F.col("_v"), "_wn": w * F.col("_n"), "_an": F.col("_n")},
-        maxes={"feature_timestamp": F.when(F.col("_k") == 1, F.col("_t"))},
+        cut_lineage(states.unionByName(targets, allowMissingColumns=True)), ["team_id"], order, time_bucket("_t"),
+        sums={"_an": F.col("_n")}, maxes={"feature_timestamp": F.when(F.col("_k") == 1, F.col("_t"))}, lasts={"_last": F.col("_ratio")},
     ).where("_k = 0")
     return walked.select(
-        "fixture_id", "team_id", "side",
-        F.when(F.col("_wn") > 0, F.col("_wv") / F.col("_wn")).alias("lagged_action_value_per_action"),
+        "fixture_id", "team_id", "side", F.col("_last").alias("lagged_action_value_per_action"),
         F.col("_an").cast("bigint").alias("history_actions"), "feature_timestamp",
     )
 

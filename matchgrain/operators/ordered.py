@@ -55,13 +55,24 @@ def prior_totals(
     Sums are 0 before the first row; maxes and lasts are null there. `totals` maps an
     output name to a name in `sums` and gives its sum over the whole key.
 
+    Every row comes out. Null keys are one key, as in a grouping. A row whose bucket is null (no
+    time) lies nowhere in the order: it counts for no other row, its sums are 0, its position,
+    maxes, lasts and totals null.
+
     The input is read twice (bucket totals, rows), so a caller that stacks these must
     cut the lineage in between.
     """
     totals = dict(totals or {})
     sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
     order_cols = [F.col(name) for name in order]
-    staged = df.withColumn("_bucket", bucket)
+    # One struct stands for keys and bucket: structs compare null fields as equal. Rows without
+    # a bucket are spread by a hash, as they may be many.
+    placed = F.struct(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+        F.col("_bucket").alias("bucket"),
+        F.when(F.col("_bucket").isNull(), F.xxhash64(*order_cols)).otherwise(0).alias("spread"),
+    )
+    staged = df.withColumn("_bucket", bucket).withColumn("_place", placed)
     named: dict[str, Column] = {}
     for kind, group in (("s", sums), ("m", maxes), ("l", lasts)):
         for index, expression in enumerate(group.values()):
@@ -79,12 +90,12 @@ def prior_totals(
         ).alias(f"_cl{i}")
         for i in range(len(lasts))
     ]
-    per_bucket = staged.groupBy(*keys, "_bucket").agg(*aggregates)
+    per_bucket = staged.where("_bucket IS NOT NULL").groupBy("_place").agg(*aggregates)
 
-    partition = list(keys) or [F.lit(0)]
+    partition = [F.col(f"_place.k{i}") for i in range(len(keys))] or [F.lit(0)]
     before = (
         Window.partitionBy(*partition)
-        .orderBy("_bucket")
+        .orderBy("_place.bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0")]
@@ -95,25 +106,25 @@ def prior_totals(
         for i in range(len(lasts))
     ]
     whole = Window.partitionBy(*partition)
-    place = {name: i for i, name in enumerate(sums)}
-    carried += [F.sum(f"_cs{place[of]}").over(whole).alias(f"_t{i}") for i, of in enumerate(totals.values())]
-    carry = per_bucket.select(*keys, "_bucket", *carried)
+    at = {name: i for i, name in enumerate(sums)}
+    carried += [F.sum(f"_cs{at[of]}").over(whole).alias(f"_t{i}") for i, of in enumerate(totals.values())]
+    carry = per_bucket.select("_place", *carried)
 
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_place").orderBy(*order)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    joined = staged.join(carry, [*keys, "_bucket"])
+    joined = staged.join(carry, "_place", "left")
+    timed = F.col("_bucket").isNotNull()
     outputs: dict[str, Column] = {}
     if position:
-        outputs[position] = (F.col("_n0") + F.row_number().over(inside)).cast("bigint")
+        outputs[position] = F.when(timed, F.col("_n0") + F.row_number().over(inside)).cast("bigint")
     for i, (name, expression) in enumerate(sums.items()):
-        outputs[name] = F.coalesce(F.col(f"_s0{i}"), F.lit(0)) + F.coalesce(
-            F.sum(f"_s{i}").over(prior), F.lit(0)
-        )
+        own = F.when(timed, F.sum(f"_s{i}").over(prior))
+        outputs[name] = F.coalesce(F.col(f"_s0{i}"), F.lit(0)) + F.coalesce(own, F.lit(0))
     for i, name in enumerate(maxes):
-        outputs[name] = F.greatest(F.col(f"_m0{i}"), F.max(f"_m{i}").over(prior))
+        outputs[name] = F.when(timed, F.greatest(F.col(f"_m0{i}"), F.max(f"_m{i}").over(prior)))
     for i, name in enumerate(lasts):
-        outputs[name] = F.coalesce(
-            F.last(f"_l{i}", ignorenulls=True).over(prior), F.col(f"_l0{i}")
+        outputs[name] = F.when(
+            timed, F.coalesce(F.last(f"_l{i}", ignorenulls=True).over(prior), F.col(f"_l0{i}"))
         )
     for i, name in enumerate(totals):
         outputs[name] = F.col(f"_t{i}")
@@ -134,16 +145,16 @@ def prior_rows(
 ) -> DataFrame:
     """Add window expressions whose frames reach back at most `lookback` rows.
 
-    `expressions` receives the ordered window and returns name -> column. Several
-    steps (a window over a window) can be chained by calling with more than one
-    dict through `stages`, see `prior_ewm`.
+    `expressions` receives the ordered window and returns name -> column. Every row comes out; a
+    row without a position (no time) gets nulls.
     """
     placed = df if position in df.columns else prior_totals(
         df, keys, order, bucket, position=position
     )
     blocks = with_halo(placed, position, lookback, size)
     spec = Window.partitionBy(*keys, "_block").orderBy(position)
-    out = blocks.withColumns(dict(expressions(spec))).where("_own")
+    made = {name: F.when(F.col(position).isNotNull(), c) for name, c in expressions(spec).items()}
+    out = blocks.withColumns(made).where("_own")
     drop = ["_block", "_own"] + ([] if position in df.columns else [position])
     return out.drop(*drop)
 
@@ -152,7 +163,8 @@ def with_halo(df: DataFrame, position: str, lookback: int, size: int) -> DataFra
     if lookback > size:
         size = lookback
     zero = F.col(position) - F.lit(1)
-    own = F.floor(zero / F.lit(size)).cast("bigint")
+    # Rows without a position are in no block of the order; a hash spreads them over blocks below zero.
+    own = F.coalesce(F.floor(zero / F.lit(size)).cast("bigint"), -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))
     also = F.when(zero % F.lit(size) >= F.lit(size - lookback), own + 1)
     return (
         df.withColumn("_home", own)
@@ -252,7 +264,9 @@ def asof_prior(
     strict: bool = True,
     width: int = HOUR,
 ) -> DataFrame:
-    """Latest right row before each left row with the same keys; all left rows stay.
+    """Latest right row before each left row with the same keys; all left rows stay, each once.
+
+    A left row with a null key or a null time has no right row.
 
     `values` maps right columns to output names; `right_tie` orders right rows that
     share a time (the largest wins). Strict means an equal time is too late.
@@ -281,4 +295,7 @@ def asof_prior(
         time_bucket("_t", width),
         lasts={"_hit": F.col("_payload")},
     ).where(F.col("_left").isNotNull())
-    return done.select("_left.*", *[F.col(f"_hit.{n}").alias(n) for n in values.values()])
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(f"_left.{key}").isNotNull()
+    return done.select("_left.*", *[F.when(whole, F.col(f"_hit.{n}")).alias(n) for n in values.values()])

@@ -1,4 +1,4 @@
-"""Season projection tables from drawn scores."""
+"""Season projection tables from a given table of final positions per draw."""
 
 from __future__ import annotations
 
@@ -7,54 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrain.operators.grids import _pmf_array, spread
-from matchgrain.operators.ledger import league_table
-from matchgrain.operators.markets import hash_uniform
 from matchgrain.operators.ranks import exact_quantiles
 
 
-def score_draws(rates: DataFrame, draws: int, *, seed: int = 20260810, max_goals: int = 20) -> DataFrame:
-    """`draws` scores per fixture from independent Poisson rates.
-
-    A goal count is the number of cumulative masses at or below a hash of (seed, draw,
-    fixture, side): reproducible, and the same under any partitioning.
-    rates: fixture_id, home_rate, away_rate and columns to carry.
-    """
-    base = spread(rates, ["fixture_id"]).withColumns(
-        {"_h": _cumulative("home_rate", max_goals), "_a": _cumulative("away_rate", max_goals)}
-    )
-    drawn = base.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    staged = drawn.withColumn("_uh", hash_uniform(seed, "draw_id", "fixture_id")).withColumn("_ua", hash_uniform(seed + 1, "draw_id", "fixture_id"))
-    count = lambda c, u: F.size(F.filter(c, lambda x: x <= F.col(u))).cast("bigint")
-    return staged.withColumns({"home_goals": count("_h", "_uh"), "away_goals": count("_a", "_ua")}).drop("_h", "_a", "_uh", "_ua", "home_rate", "away_rate")
-
-
-def _cumulative(rate: str, top: int):
-    """Cumulative masses up to `top`; the rest of the mass falls on top + 1."""
-    from matchgrain.operators.grids import _running
-
-    return _running(_pmf_array(F.col(rate), top))
-
-
-def draw_standings(completed: DataFrame, drawn: DataFrame, *, draws: int, keys: Sequence[str] = ("edition_id",), tie_breakers=("points", "goal_difference", "goals_for")) -> DataFrame:
-    """Final table of every draw.
-
-    Completed results are summed once per team and added to each draw's sums; only the
-    drawn part is multiplied by the number of draws.
-    """
-    keys = list(keys)
-    played = league_table(completed, keys=keys, tie_breakers=tie_breakers).drop("position")
-    extra = league_table(drawn, keys=[*keys, "draw_id"], tie_breakers=tie_breakers).drop("position")
-    sums = ("played", "wins", "draws", "losses", "goals_for", "goals_against", "goal_difference", "points")
-    base = played.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    editions = drawn.select(*keys).distinct()
-    both = base.join(editions, keys).unionByName(extra)
-    total = both.groupBy(*keys, "draw_id", "team_id").agg(*[F.sum(c).alias(c) for c in sums])
-    from matchgrain.operators.ledger import with_positions
-
-    return with_positions(total, [*keys, "draw_id"], tie_breakers)
-
-
 def position_probabilities(standings: DataFrame, draws: int, *, keys: Sequence[str] = ("edition_id",)) -> DataFrame:
     """P(position) per team; mean points repeat on each row."""
     per = standings.groupBy(*keys, "team_id", "position").agg((F.count(F.lit(1)) / F.lit(float(draws))).alias("probability"))
@@ -64,9 +19,7 @@ def position_probabilities(standings: DataFrame, draws: int, *, keys: Sequence[s
 
 def outcome_probabilities(positions: DataFrame, labels: DataFrame, *, keys: Sequence[str] = ("edition_id",)) -> DataFrame:
     """P(label) per team; labels: label, first_position, last_position."""
-    hit = F.col("position").between(F.col("first_position"), F.col("last_position"))
     expanded = labels.select("label", F.explode(F.sequence("first_position", "last_position")).alias("position"))
-    _ = hit
     return positions.join(expanded, "position").groupBy(*keys, "team_id", "label").agg(F.sum("probability").alias("probability"))
 
 
@@ -82,35 +35,3 @@ def points_target(standings: DataFrame, target_position: int, *, keys: Sequence[
     """P5: distribution of the lowest points total inside the target position."""
     low = standings.where(F.col("position") <= target_position).groupBy(*keys, "draw_id").agg(F.min("points").alias("_p"))
     return exact_quantiles(low, list(keys), "_p", {"p10": 0.1, "median": 0.5, "p90": 0.9})
-
-
-def match_stakes(standings: DataFrame, drawn: DataFrame, labels: DataFrame, *, keys: Sequence[str] = ("edition_id",), focal: DataFrame | None = None) -> DataFrame:
-    """Movement of outcome probabilities given H / D / A in a fixture, for its two teams.
-
-    The same draws serve all three results. `stakes` is the largest absolute change, and
-    `entropy_drop` the expected loss of binary entropy.
-    """
-    from matchgrain.functions.scalars import binary_entropy
-
-    keys = list(keys)
-    h, a = F.col("home_goals"), F.col("away_goals")
-    games = drawn if focal is None else drawn.join(focal.select("fixture_id"), "fixture_id", "left_semi")
-    result = F.when(h > a, "H").when(h == a, "D").otherwise("A")
-    sides = games.select(
-        *keys, "draw_id", "fixture_id", result.alias("result"), F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")
-    )
-    expanded = labels.select("label", F.explode(F.sequence("first_position", "last_position")).alias("position"))
-    reached = standings.select(*keys, "draw_id", "team_id", "position")
-    rows = sides.join(reached, [*keys, "draw_id", "team_id"])
-    counts = rows.groupBy("fixture_id", "team_id", "result", "position").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("fixture_id", "team_id", "result").agg(F.sum("n").alias("t"))
-    hits = counts.join(expanded, "position").groupBy("fixture_id", "team_id", "result", "label").agg(F.sum("n").alias("k"))
-    names = labels.select(F.collect_list("label")).scalar()
-    table = totals.withColumn("label", F.explode(names)).join(hits, ["fixture_id", "team_id", "result", "label"], "left")
-    table = table.withColumn("k", F.coalesce("k", F.lit(0)))
-    base = table.groupBy("fixture_id", "team_id", "label").agg((F.sum("k") / F.sum("t")).alias("base"), F.sum("t").alias("all"))
-    joined = table.join(base, ["fixture_id", "team_id", "label"]).withColumn("p", F.col("k") / F.col("t"))
-    return joined.groupBy("fixture_id", "team_id", "label", "base").agg(
-        F.max(F.abs(F.col("p") - F.col("base"))).alias("stakes"),
-        (binary_entropy("base") - F.sum(F.col("t") / F.col("all") * binary_entropy("p"))).alias("entropy_drop"),
-    )

@@ -24,8 +24,9 @@ def value_bucket(value) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     size = F.abs(v)
     step = F.floor((F.log2(size) - SMALLEST_OCTAVE) * OCTAVE_STEPS) + 1
+    beyond = (2**10 - SMALLEST_OCTAVE) * OCTAVE_STEPS + 2  # of infinite values
     return F.when(v == 0, F.lit(0)).otherwise(
-        F.signum(v) * F.greatest(step, F.lit(1))
+        F.signum(v) * F.greatest(F.when(size == float("inf"), F.lit(beyond)).otherwise(step), F.lit(1))
     ).cast("bigint")
 
 

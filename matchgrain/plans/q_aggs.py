@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from matchgrain.operators import aggregates as A
 from matchgrain.operators import ledger, markets
 from matchgrain.plans.registry import query, rounded
-from matchgrain.plans.q_joins import pre_ratings
 
 
 def ts(text: str):
@@ -213,6 +212,3 @@ def d28(b):
 @query("d31_event_type_profile", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 20")
 def d31(b):
     return A.event_type_profile(b.table("events"), "event_type")
-
-
-_ = pre_ratings

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchgrain.functions import scalars as S
 from matchgrain.operators import grids, ledger
 from matchgrain.plans.q_ledger import WALK_FORWARD
 from matchgrain.plans.registry import query, rounded
@@ -321,6 +320,3 @@ def v18(b):
             "guidance", "recommendation", "BTTSYesProb",
         )
     )
-
-
-_ = S

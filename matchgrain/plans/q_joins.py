@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchgrain.functions import scalars as S
 from matchgrain.operators import joins, ledger
 from matchgrain.plans.bridge import shifted
 from matchgrain.plans.registry import query, rounded
@@ -297,6 +296,3 @@ def c26(b):
         F.coalesce(mean("away", "goals_for"), F.lit(1.3)).alias("AwayGoalsAve"), F.coalesce(mean("away", "goals_against"), F.lit(1.1)).alias("AwayGoalsConcededAve"),
     )
     return rounded(joins.match_poisson_lookup(b.matches, stats).select("fixture_id", "HomeWinProb", "DrawProb", "AwayWinProb", "error", "BTTSYesProb"))
-
-
-_ = S

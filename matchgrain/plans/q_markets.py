@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from matchgrain.operators import evaluation as V
 from matchgrain.operators import markets as M
-from matchgrain.operators import windows as W
 from matchgrain.plans.registry import query, rounded
 
 
@@ -31,7 +30,7 @@ def m4(b):
 
 
 @query("m5_closing_line_audit", """WITH f AS (SELECT fixture_id, market, selection, bookmaker, min(observed_at) AS accepted_observed_at, arg_min(decimal_price, observed_at) AS accepted_price, max(observed_at) AS closing_observed_at, arg_max(decimal_price, observed_at) AS closing_price FROM quotes GROUP BY ALL)
-  SELECT fixture_id, market, selection, bookmaker, accepted_observed_at, round(accepted_price, 6) AS accepted_price, closing_observed_at, round(closing_price, 6) AS closing_price, round(ln(accepted_price / closing_price), 6) AS clv FROM f WHERE closing_observed_at > accepted_observed_at""", "quotes")
+  SELECT fixture_id, market, selection, bookmaker, accepted_observed_at, round(accepted_price, 6) AS accepted_price, closing_observed_at, round(closing_price, 6) AS closing_price, CASE WHEN closing_observed_at > accepted_observed_at THEN round(ln(accepted_price / closing_price), 6) END AS clv, CASE WHEN closing_observed_at > accepted_observed_at THEN 'covered' ELSE 'close_not_later' END AS coverage, 'latest_same_source_before_kickoff' AS method FROM f""", "quotes")
 def m5(b):
     keys = ["fixture_id", "market", "selection", "bookmaker"]
     first = b.quotes.groupBy(*keys).agg(F.min("observed_at").alias("observed_at"), F.min_by("decimal_price", "observed_at").alias("decimal_price"))
@@ -225,6 +224,3 @@ def v19(b):
 def v19_class(b):
     s = b.scored.withColumn("prediction", V.row_scores()["_lead"].cast("int"))
     return rounded(V.class_report(s))
-
-
-_ = W

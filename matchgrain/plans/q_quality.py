@@ -86,28 +86,6 @@ def d30(b):
     return quality.feature_availability(features, names, caps)
 
 
-DRAWS = 20
-
-
-def drawn(b):
-    rates = b.matches.where("status = 'scheduled'").join(b.rates.select("fixture_id", "home_rate", "away_rate"), "fixture_id")
-    return P.score_draws(rates.drop("home_goals", "away_goals"), DRAWS)
-
-
-def standings(b):
-    return b.stored(f"standings-{DRAWS}", lambda: P.draw_standings(b.completed, drawn(b), draws=DRAWS))
-
-
-@query("p1_score_draws")
-def p1(b):
-    return drawn(b).select("fixture_id", "draw_id", "home_goals", "away_goals")
-
-
-@query("p2_draw_standings")
-def p2(b):
-    return P.draw_standings(b.completed, drawn(b), draws=DRAWS)
-
-
 def hash_table(b):
     """Tables per draw without random numbers, so that SQL can follow."""
     return b.stored("standings-plain", lambda: _plain(b))
@@ -152,8 +130,3 @@ def p4(b):
 @query("p5_points_target", f"WITH {PLAIN}, l AS (SELECT edition_id, draw_id, min(points) AS p FROM s WHERE position <= 4 GROUP BY ALL) SELECT edition_id, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.9), 6) AS p90 FROM l GROUP BY 1", "matches")
 def p5(b):
     return rounded(P.points_target(hash_table(b), 4))
-
-
-@query("p6_match_stakes")
-def p6(b):
-    return P.match_stakes(standings(b), drawn(b), labels(b))

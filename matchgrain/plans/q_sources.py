@@ -98,21 +98,35 @@ def a7(b):
 
 
 def detail(b):
-    shot = F.struct(F.col("shot_no").alias("minute"), F.struct(F.col("distance").alias("x"), F.lit(50.0).alias("y")).alias("pos"), F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).alias("gm"), "xg")
+    player = F.col("fixture_id") * 10 + F.col("shot_no")
+    shot = F.struct(
+        F.col("shot_no").alias("minute"), F.lit("open").alias("sit"), F.col("is_home").alias("home"), F.struct(F.col("distance").alias("x"), F.lit(50.0).alias("y")).alias("pos"),
+        F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).alias("gm"), "xg", "xgot", player.alias("pid"),
+    )
     point = F.struct(F.col("shot_no").alias("minute"), (F.col("xg") - F.col("xgot")).alias("value"))
-    spot = F.struct((F.col("fixture_id") * 10 + F.col("shot_no")).alias("player_id"), F.col("distance").alias("x"), F.lit(34.0).alias("y"))
+    spot = F.struct(player.alias("player_id"), F.col("distance").alias("x"), F.lit(34.0).alias("y"))
     g = b.shots.groupBy(F.col("fixture_id").alias("match_id")).agg(
         F.collect_list(shot).alias("shots"), F.collect_list(point).alias("momentum"),
         F.struct(F.collect_list(F.when(F.col("is_home"), spot)).alias("home"), F.collect_list(F.when(~F.col("is_home"), spot)).alias("away")).alias("positions"),
         F.struct(F.sum(F.when(F.col("is_home"), F.col("xg"))).alias("home"), F.sum(F.when(~F.col("is_home"), F.col("xg"))).alias("away")).alias("xg"),
     )
-    return g.withColumn("odds", F.struct(F.lit(2.0).alias("home"), F.lit(3.0).alias("away")))
+    names = b.matches.select(F.col("fixture_id").alias("match_id"), F.concat(F.lit("T"), F.col("home_team_id").cast("string")).alias("home_team"))
+    return g.join(names, "match_id").withColumn("odds", F.struct(F.lit(2.0).alias("home"), F.lit(4.0).alias("draw"), F.lit(3.0).alias("away")))
 
 
-@query("a8_flatten_match_detail", """SELECT 'shots' AS "table", count(*) AS n FROM shots UNION ALL SELECT 'momentum', count(*) FROM shots UNION ALL SELECT 'positions', count(*) FROM shots UNION ALL SELECT 'match', count(DISTINCT fixture_id) FROM shots""", "shots")
+@query("a8_flatten_match_detail", """SELECT fixture_id AS match_id, 'T' || home_team_id AS home_team, shot_no::INT AS minute, 'open' AS situation, is_home, round(xg, 6) AS xg, round(xgot, 6) AS xgot, round(distance, 6)::DOUBLE AS x, 50::DOUBLE AS y, fixture_id * 10 + shot_no AS player_id FROM shots JOIN matches USING (fixture_id)""", "shots matches")
 def a8(b):
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, df in py.flatten_match_detail(detail(b)).items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return rounded(py.flatten_match_detail(detail(b))["shots"].select("match_id", "home_team", "minute", "situation", "is_home", "xg", "xgot", "x", "y", "player_id"))
+
+
+@query("a8_flatten_match_positions", """SELECT fixture_id AS match_id, CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, fixture_id * 10 + shot_no AS player_id, round(distance, 6)::DOUBLE AS x FROM shots""", "shots")
+def a8_positions(b):
+    return rounded(py.flatten_match_detail(detail(b))["positions"].select("match_id", "side", "player_id", "x"))
+
+
+@query("a8_flatten_match_row", """SELECT fixture_id AS match_id, round(sum(xg) FILTER (WHERE is_home), 6) AS home_xg, round(sum(xg) FILTER (WHERE NOT is_home), 6) AS away_xg, 2::DOUBLE AS home_odds, 4::DOUBLE AS draw_odds, NULL::DOUBLE AS over_25_odds FROM shots GROUP BY 1""", "shots")
+def a8_row(b):
+    return rounded(py.flatten_match_detail(detail(b))["match"].select("match_id", "home_xg", "away_xg", "home_odds", "draw_odds", "over_25_odds"))
 
 
 @query("a9_flatten_player_stats", "SELECT l_partkey AS player_id, 'n' || l_partkey AS player_name, l_orderkey AS event_id, strftime(l_shipdate, '%Y-%m-%d') AS event_date, l_quantity AS passes, round(l_discount, 6) AS rating FROM lineitem")
@@ -173,12 +187,20 @@ def a14(b):
     return py.goal_difference_to_1x2(wide, ["fixture_id"])
 
 
-@query("a15_extract_official_records", """SELECT strftime(kickoff_utc, '%Y-%m-%d') AS "Date", 'T' || home_team_id AS "HomeTeam", 'T' || away_team_id AS "AwayTeam", 'R' || (fixture_id % 40) AS "Referee" FROM matches WHERE fixture_id % 3 > 0""", "matches")
+@query("a15_extract_official_records", """SELECT strftime(kickoff_utc, '%Y-%m-%d') AS "Date", 'T' || home_team_id AS "HomeTeam", 'T' || away_team_id AS "AwayTeam", 'R' || (fixture_id % 40) AS "Referee", 'A' || (fixture_id % 50) AS "AssistantReferee1", NULL::VARCHAR AS "AssistantReferee2", 'F' AS "FourthOfficial", 'V' || (fixture_id % 30) AS "VAR", NULL::VARCHAR AS "AVAR" FROM matches WHERE fixture_id % 3 > 0""", "matches")
 def a15(b):
-    t = lambda c: F.concat(F.lit("T"), F.col(c).cast("string"))
-    m = F.struct(F.date_format("kickoff_utc", "yyyy-MM-dd").alias("kickoff"), t("home_team_id").alias("home"), t("away_team_id").alias("awayTeam"), F.when(F.col("fixture_id") % 3 > 0, F.concat(F.lit("R"), (F.col("fixture_id") % 40).cast("string"))).alias("official"))
-    payload = b.matches.select(F.to_json(F.struct(F.struct(F.struct(F.array(m).alias("fixtures")).alias("page")).alias("props"))).alias("payload"))
-    return py.extract_official_records(payload)
+    """Every second payload holds its matches seven levels down."""
+    t = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k = F.col("fixture_id")
+    m = F.struct(
+        F.date_format("kickoff_utc", "yyyy-MM-dd").alias("kickoff"), t("T", F.col("home_team_id")).alias("home"), t("T", F.col("away_team_id")).alias("awayTeam"),
+        F.when(k % 3 > 0, t("R", k % 40)).alias("official"), t("A", k % 50).alias("assistantReferee1"), F.lit("F").alias("fourthOfficial"), t("V", k % 30).alias("videoAssistantReferee"),
+    )
+    shallow = F.to_json(F.struct(F.struct(F.array(m).alias("fixtures")).alias("page")))
+    deep = F.struct(F.array(m).alias("matches"))
+    for name in ("e", "d", "c", "b", "a"):
+        deep = F.struct(deep.alias(name))
+    return py.extract_official_records(b.matches.select(F.when(k % 2 == 0, shallow).otherwise(F.to_json(deep)).alias("payload")))
 
 
 @query("a16_extract_page_fields", r"""SELECT page_id, url, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title FROM pages""")
@@ -197,55 +219,70 @@ def a16_match(b):
     return pg.extract_page_fields(b.matches.select("fixture_id", F.concat(title, date, who).alias("html"))).select("fixture_id", "home_team", "away_team", "match_date", "referee")
 
 
-@query("a18_flatten_top_players", "SELECT user_id AS player_id, event_type AS team_name, count(*) AS goals, 'scorers' AS category FROM events GROUP BY ALL UNION ALL SELECT user_id, event_type, count(*), 'assists' FROM events GROUP BY ALL")
+@query("a18_flatten_top_players", "SELECT user_id AS player_id, user_id::VARCHAR AS player_name, (user_id % 20)::INT AS age, NULL::VARCHAR AS nationality, event_type AS team_name, upper(event_type) AS team, 'M' AS position, count(*) AS appearances, count(*) AS minutes, 7.5::DOUBLE AS rating, count(*) AS goals, count(*) AS assists, NULL::BIGINT AS shots, NULL::BIGINT AS shots_on_target, 3::BIGINT AS key_passes, NULL::DOUBLE AS pass_accuracy, NULL::BIGINT AS tackles, NULL::BIGINT AS dribbles, count(*) AS yellow_cards, NULL::BIGINT AS red_cards, category FROM events CROSS JOIN (VALUES ('scorers'), ('assists')) k(category) GROUP BY ALL")
 def a18(b):
     per = b.table("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    stat = F.struct(F.struct(F.col("event_type").alias("name")).alias("team"), F.struct(F.col("n").alias("total"), F.col("n").alias("assists")).alias("goals"), F.struct(F.col("n").alias("minutes")).alias("games"))
-    players = per.groupBy("user_id").agg(F.collect_list(stat).alias("statistics")).select(F.struct(F.col("user_id").alias("id"), F.col("user_id").cast("string").alias("name")).alias("player"), "statistics")
-    return py.flatten_top_players({"scorers": players, "assists": players}).select("player_id", "team_name", "goals", "category")
+    n = F.col("n")
+    stat = F.struct(
+        F.struct(F.col("event_type").alias("name")).alias("team"), F.struct(n.alias("total"), n.alias("assists")).alias("goals"),
+        F.struct(n.alias("minutes"), n.alias("appearences"), F.lit("M").alias("position"), F.lit("7.5").alias("rating")).alias("games"),
+        F.struct(F.lit(3).alias("key")).alias("passes"), F.struct(n.alias("yellow")).alias("cards"),
+    )
+    who = F.struct(F.col("user_id").alias("id"), F.col("user_id").cast("string").alias("name"), (F.col("user_id") % 20).alias("age"))
+    players = per.groupBy("user_id").agg(F.collect_list(stat).alias("statistics")).select(who.alias("player"), "statistics")
+    return py.flatten_top_players({"scorers": players, "assists": players}, F.upper("team_name"))
 
 
-@query("a19_flatten_team_statistics", "SELECT c_custkey AS team_id, c_custkey % 38 AS played, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 20 END, 0) AS wins, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 ELSE 0 END AS goals_0_15, 0::BIGINT AS goals_76_90, '4-3-3' AS formation FROM customer")
+@query("a19_flatten_team_statistics", "SELECT c_custkey AS team_id, c_custkey % 38 AS played, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 20 END, 0) AS wins, 0::BIGINT AS draws, c_custkey % 11 AS away_wins, c_custkey % 60 AS goals_for, 0::BIGINT AS goals_against, 1.5::DOUBLE AS goals_for_avg_home, 0::DOUBLE AS goals_for_avg_away, 0::BIGINT AS clean_sheets, 0::BIGINT AS penalties_scored, c_custkey % 5 AS longest_wins, 'WDL' AS form, '' AS biggest_win_home, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 END AS goals_0_15, NULL::BIGINT AS goals_76_90, NULL::BIGINT AS goals_against_76_90, '4-3-3' AS formation FROM customer")
 def a19(b):
     k = F.col("c_custkey")
+    goals = F.struct(F.struct(F.struct((k % 60).alias("total")).alias("total"), F.struct(F.lit("1.5").alias("home")).alias("average"), F.when(k % 2 == 0, F.create_map(F.lit("0-15"), F.struct((k % 9).alias("total")))).alias("minute")).alias("for"))
     stats = F.struct(
-        F.struct((k % 38).alias("played"), F.when(k % 3 > 0, k % 20).alias("wins")).alias("fixtures"), F.lit(None).cast("bigint").alias("clean_sheet"),
-        F.when(k % 2 == 0, F.create_map(F.lit("0-15"), F.struct((k % 9).alias("total")))).alias("goals_by_minute"), F.array(F.struct(F.lit("4-3-3").alias("formation"))).alias("lineups"),
+        F.struct(F.struct((k % 38).alias("total")).alias("played"), F.struct(F.when(k % 3 > 0, k % 20).alias("total"), (k % 11).alias("away")).alias("wins")).alias("fixtures"), goals.alias("goals"),
+        F.struct(F.lit(None).cast("bigint").alias("total")).alias("clean_sheet"), F.struct(F.struct((k % 5).alias("wins")).alias("streak")).alias("biggest"), F.lit("WDL").alias("form"),
+        F.array(F.struct(F.lit("4-3-3").alias("formation"))).alias("lineups"),
     )
     out = py.flatten_team_statistics(b.table("customer").select(k.alias("team_id"), stats.alias("stats")))
-    return out.select("team_id", "played", "wins", "goals_0_15", "goals_76_90", "formation")
+    return out.select("team_id", "played", "wins", "draws", "away_wins", "goals_for", "goals_against", "goals_for_avg_home", "goals_for_avg_away", "clean_sheets", "penalties_scored", "longest_wins", "form", "biggest_win_home", "goals_0_15", "goals_76_90", "goals_against_76_90", "formation")
 
 
-@query("a20_flatten_coaches", "SELECT team_id, max(CASE WHEN effective_to IS NULL THEN strftime(effective_from, '%Y-%m-%d') END) AS start_date, count(*)::INT AS clubs FROM tenures GROUP BY 1", "tenures")
+@query("a20_flatten_coaches", "SELECT team_id, NULL::BIGINT AS coach_id, 'c' AS coach_name, (team_id % 30 + 35)::INT AS age, 'n' AS nationality, coalesce(max(CASE WHEN effective_to IS NULL THEN strftime(effective_from, '%Y-%m-%d') END), '') AS start_date, count(*)::INT AS clubs FROM tenures GROUP BY 1", "tenures")
 def a20(b):
     entry = F.struct(F.date_format("effective_from", "yyyy-MM-dd").alias("start"), F.date_format("effective_to", "yyyy-MM-dd").alias("end"))
-    coaches = b.tenures.groupBy("team_id").agg(F.collect_list(entry).alias("career"), F.lit("c").alias("coach_name"))
-    return py.flatten_coaches(coaches).select("team_id", "start_date", "clubs")
+    coaches = b.tenures.groupBy("team_id").agg(F.collect_list(entry).alias("career"), F.lit("c").alias("coach_name"), F.lit("n").alias("nationality"))
+    return py.flatten_coaches(coaches.withColumn("age", F.col("team_id") % 30 + 35))
 
 
-@query("a20_flatten_squads", "SELECT DISTINCT user_id AS team_id, event_id AS player_id, event_type AS position FROM events")
+@query("a20_flatten_squads", "SELECT DISTINCT user_id AS team_id, event_id AS player_id, 'p' || event_id AS player_name, (event_id % 20 + 17)::INT AS age, NULL::INT AS number, event_type AS position FROM events")
 def a20_squads(b):
-    squads = b.table("events").groupBy(F.col("user_id").alias("team_id"), F.floor(F.col("event_id") / 2000).alias("page")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("position"))).alias("players"))
-    return py.flatten_squads(squads)
+    k = F.col("event_id")
+    player = F.struct(k.alias("id"), F.concat(F.lit("p"), k.cast("string")).alias("name"), (k % 20 + 17).alias("age"), F.col("event_type").alias("position"))
+    return py.flatten_squads(b.table("events").groupBy(F.col("user_id").alias("team_id"), F.floor(k / 2000).alias("page")).agg(F.collect_list(player).alias("players")))
 
 
-@query("a21_flatten_transfers", "SELECT o_custkey AS player_id, CAST(o_orderdate AS DATE) AS transfer_date, o_orderpriority AS type FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01'")
+@query("a21_flatten_transfers", "SELECT o_custkey AS player_id, 'p' || o_custkey AS player_name, CAST(o_orderdate AS DATE) AS transfer_date, o_orderpriority AS type, 'a' AS team_in, '' AS team_out FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01'")
 def a21(b):
-    t = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("type"), F.struct(F.lit("a").alias("in"), F.lit("b").alias("out")).alias("teams"))
+    teams = F.struct(F.struct(F.lit("a").alias("name")).alias("in"), F.struct(F.lit(None).cast("string").alias("name")).alias("out"))
+    t = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("type"), teams.alias("teams"))
     payload = b.table("orders").groupBy(F.col("o_custkey").alias("player_id"), F.floor(F.col("o_orderkey") / 1000).alias("page")).agg(F.collect_list(t).alias("transfers"))
-    return py.flatten_transfers(payload, F.lit("1998-07-01").cast("date")).select("player_id", "transfer_date", "type")
+    payload = payload.withColumn("player_name", F.concat(F.lit("p"), F.col("player_id").cast("string")))
+    return py.flatten_transfers(payload, F.lit("1998-07-01").cast("date"))
 
 
-@query("a22_flatten_provider_predictions", "SELECT fixture_id, (fixture_id % 100)::DOUBLE AS pct_home, (fixture_id % 60)::DOUBLE AS form_home, (fixture_id % 4)::INT AS past_meetings FROM matches", "matches")
+@query("a22_flatten_provider_predictions", "SELECT fixture_id, fixture_id % 9 AS winner_id, 'w' AS winner_name, fixture_id % 2 = 0 AS win_or_draw, '-2.5' AS under_over, '-1.5' AS goals_home, NULL::VARCHAR AS goals_away, 'a' AS advice, (fixture_id % 100)::DOUBLE AS pct_home, (fixture_id % 90)::DOUBLE AS pct_draw, (fixture_id % 80)::DOUBLE AS pct_away, (fixture_id % 60)::DOUBLE AS form_home, (fixture_id % 50)::DOUBLE AS form_away, (fixture_id % 60)::DOUBLE AS att_home, (fixture_id % 50)::DOUBLE AS att_away, (fixture_id % 60)::DOUBLE AS def_home, (fixture_id % 50)::DOUBLE AS def_away, (fixture_id % 4)::INT AS past_meetings FROM matches", "matches")
 def a22(b):
     k = F.col("fixture_id")
     p = lambda n: F.concat((k % n).cast("string"), F.lit("%"))
     pair = lambda: F.struct(p(60).alias("home"), p(50).alias("away"))
+    told = F.struct(
+        F.struct((k % 9).alias("id"), F.lit("w").alias("name")).alias("winner"), (k % 2 == 0).alias("win_or_draw"), F.lit("-2.5").alias("under_over"),
+        F.struct(F.lit("-1.5").alias("home")).alias("goals"), F.lit("a").alias("advice"), F.struct(p(100).alias("home"), p(90).alias("draw"), p(80).alias("away")).alias("percent"),
+    )
     df = b.matches.select(
-        "fixture_id", F.struct(F.struct(p(100).alias("home"), p(90).alias("draw"), p(80).alias("away")).alias("percent")).alias("predictions"),
-        F.struct(pair().alias("form"), pair().alias("att"), pair().alias("def")).alias("comparison"), F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (k % 4).cast("int")).alias("h2h"),
+        "fixture_id", told.alias("predictions"), F.struct(pair().alias("form"), pair().alias("att"), pair().alias("def")).alias("comparison"),
+        F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (k % 4).cast("int")).alias("h2h"),
     )
-    return py.flatten_predictions(df).select("fixture_id", "pct_home", "form_home", "past_meetings")
+    return py.flatten_predictions(df)
 
 
 @query("a23_flatten_prematch_odds", "SELECT fixture_id, 'b' || bookmaker AS bookmaker, 'Match Winner' AS market, selection, round(max(decimal_price), 6) AS decimal_price FROM quotes GROUP BY ALL", "quotes")

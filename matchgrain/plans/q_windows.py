@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from matchgrain.operators import ledger, ledgers
 from matchgrain.operators import windows as W
-from matchgrain.plans.bridge import shifted
 from matchgrain.plans.q_joins import pools
 from matchgrain.plans.registry import query, rounded
 
@@ -185,6 +184,3 @@ def s6(b):
   SELECT a.edition_id, a.pool, CASE WHEN rep = 1 THEN a.team_id ELSE b.team_id END AS home_team_id, CASE WHEN rep = 1 THEN b.team_id ELSE a.team_id END AS away_team_id, rep AS repeat FROM p a JOIN p b ON a.edition_id = b.edition_id AND a.pool = b.pool AND a.rank < b.rank CROSS JOIN (VALUES (1), (2)) v(rep)""", "events2")
 def s7(b):
     return ledgers.pool_fixtures(pools(b), repeats=2)
-
-
-_ = shifted

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchgrain.functions.storage import cut_lineage
 from matchgrain.operators.ledgers import LEDGER_KEY, append_forecast_ledger
 from matchgrain.operators.ratings import elo_update
 
@@ -20,9 +21,10 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: s
 
 
 def latest_quotes(quotes: DataFrame, kickoffs: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """Latest pre-kickoff quote per key (update mode); late rows beyond the watermark are dropped.
+    """Latest pre-kickoff quote per key (update mode).
 
-    `kickoffs` is a static table; a quote at or after kickoff is unusable.
+    `kickoffs` is a static table; a quote at or after kickoff is unusable, however late it comes. The state is one
+    quote per key; keys stay in the state for as long as the stream runs, so start it anew per season.
     """
     rest = ("observed_at", "decimal_price")
     usable = (
@@ -40,36 +42,46 @@ def with_fair_probability(latest: DataFrame) -> DataFrame:
 
 
 class LedgerAppender:
-    """`foreachBatch` writer. Each batch becomes a new ledger snapshot under `root`.
+    """`foreachBatch` writer. Each batch adds one folder of new rows, `root/ledger/batch=N`, split by month of issue.
 
-    A batch id is written to its own folder, so a replayed batch overwrites itself and is
-    never applied twice. Late issues go to `root/quarantine`.
+    The ledger is the union of these folders. A batch reads only the months it touches, of all earlier
+    batches, so gaps in the batch ids lose nothing and nothing is rewritten. A key that comes again with the same
+    fields is dropped, with other fields it fails the batch. Forecasts that were not issued before kickoff go to
+    `root/quarantine`. A replayed batch overwrites its own folders.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def ledger(self) -> DataFrame:
+        """All rows so far, with `batch` and `month`."""
+        return self.spark.read.parquet(f"{self.root}/ledger")
+
     def _exists(self, path: str) -> bool:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def snapshot(self, batch_id: int) -> str:
-        return f"{self.root}/snapshot={batch_id}"
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        early = F.col("issued_at") < F.col("kickoff_utc")
-        batch.where(~F.coalesce(early, F.lit(False))).write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
-        good = batch.where(early).dropDuplicates()
-        before = self.snapshot(batch_id - 1)
-        merged = append_forecast_ledger(self.spark.read.parquet(before), good) if batch_id and self._exists(before) else append_forecast_ledger(good.limit(0), good)
-        merged.write.mode("overwrite").parquet(self.snapshot(batch_id))
-
-
-def stream_ledger(additions: DataFrame, root: str, checkpoint: str, *, delay: str = "1 hour"):
-    """Duplicate-free append of issued forecasts; one snapshot per batch."""
-    unique = additions.withWatermark("issued_at", delay).dropDuplicatesWithinWatermark(list(LEDGER_KEY) + ["kickoff_utc"])
-    return unique.writeStream.foreachBatch(LedgerAppender(additions.sparkSession, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        early = F.coalesce(F.col("issued_at") < F.col("kickoff_utc"), F.lit(False))
+        batch = cut_lineage(batch)
+        batch.where(~early).write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
+        good = batch.where(early).dropDuplicates().withColumn("month", F.date_format("issued_at", "yyyy-MM"))
+        fresh = good
+        if self._exists(f"{self.root}/ledger"):
+            months = good.select("month").distinct()
+            old = self.ledger().where(F.col("batch") != batch_id).join(months, "month", "left_semi").drop("batch").select(good.columns)
+            # The rules of S6 over the touched months; what was not there before is new.
+            merged = append_forecast_ledger(old, good)
+            fresh = merged.join(old.select(*LEDGER_KEY), list(LEDGER_KEY), "left_anti")
+        else:
+            fresh = append_forecast_ledger(good.limit(0), good)
+        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{self.root}/ledger/batch={batch_id}")
+
+
+def stream_ledger(additions: DataFrame, root: str, checkpoint: str):
+    """Duplicate-free append of issued forecasts; a changed forecast under an old key fails the stream."""
+    return additions.writeStream.foreachBatch(LedgerAppender(additions.sparkSession, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 ELO_OUTPUT = "league_id bigint, fixture_id bigint, home_team_id bigint, away_team_id bigint, home_pre double, away_pre double, home_post double, away_post double"

@@ -79,3 +79,24 @@ def test_value_bucket_never_falls(spark):
     rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     buckets = [r.b for r in rows.select("i", value_bucket("v").alias("b")).orderBy("i").collect()]
     assert buckets == sorted(buckets)
+
+
+def test_rows_without_key_or_time_stay(spark):
+    from pyspark.sql import functions as F
+
+    from matchgrain.operators.ordered import asof_prior, prior_rows, prior_totals, time_bucket
+
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 7200, 2.0), ("a", None, 4.0), (None, 1, 8.0), (None, 9000, 16.0), (None, None, 32.0)], "k string, s long, x double")
+    rows = rows.withColumn("t", F.timestamp_seconds("s"))
+    got = prior_totals(rows, ["k"], ["t"], time_bucket("t"), position="p", sums={"before": F.col("x")}, lasts={"last": F.col("x")}).collect()
+    assert sorted(((r.k, r.s, r.p, r.before, r.last) for r in got), key=repr) == sorted(
+        [("a", 1, 1, 0.0, None), ("a", 7200, 2, 1.0, 1.0), ("a", None, None, 0.0, None), (None, 1, 1, 0.0, None), (None, 9000, 2, 8.0, 8.0), (None, None, None, 0.0, None)], key=repr
+    )
+    rolled = prior_rows(rows, ["k"], ["t"], time_bucket("t"), lambda w: {"m": F.avg("x").over(w.rowsBetween(-3, -1))}, lookback=3)
+    assert sorted(((r.k, r.s, r.m) for r in rolled.collect()), key=repr) == sorted(
+        [("a", 1, None), ("a", 7200, 1.0), ("a", None, None), (None, 1, None), (None, 9000, 8.0), (None, None, None)], key=repr
+    )
+    right = rows.select("k", F.col("t").alias("rt"), F.col("x").alias("y"))
+    hit = asof_prior(rows, right, ["k"], left_time="t", right_time="rt", values={"y": "found"}).collect()
+    assert len(hit) == rows.count()
+    assert {(r.k, r.s): r.found for r in hit} == {("a", 1): None, ("a", 7200): 1.0, ("a", None): None, (None, 1): None, (None, 9000): None, (None, None): None}
