@@ -58,8 +58,8 @@ def rank_covariate_rates(models: tuple[PipelineModel, PipelineModel], df: DataFr
     return out
 
 
-def no_market_classifier(features: str = "features", label: str = "target", *, c: float = 0.2, rows: int = 1000, max_iter: int = 50) -> Pipeline:
-    """Standardised multinomial logistic regression with inverse strength `c`."""
+def no_market_classifier(features: str = "features", label: str = "target", *, rows: int, c: float = 0.2, max_iter: int = 50) -> Pipeline:
+    """Standardised multinomial logistic regression with inverse strength `c` on `rows` training rows."""
     return Pipeline(stages=[
         StandardScaler(withMean=True, inputCol=features, outputCol="_x"),
         LogisticRegression(family="multinomial", featuresCol="_x", labelCol=label, regParam=1.0 / (c * rows), maxIter=max_iter),
@@ -99,23 +99,40 @@ def feed_forward_classifier(train: DataFrame, df: DataFrame, *, layers=(128, 64,
     return with_probabilities(Pipeline(stages=[scaler, net]).fit(train), df)
 
 
-def probability_stack(components: Mapping[str, DataFrame], labels: DataFrame, *, minimum_rows: int = 120) -> DataFrame:
-    """Logistic regression on log component probabilities; few rows use the best component."""
-    joined = labels
-    for name, df in components.items():
-        joined = joined.join(df.select("fixture_id", *[F.ln(F.greatest(F.col(c), F.lit(1e-15))).alias(f"{name}_{c}") for c in P3]), "fixture_id")
-    joined = cut_lineage(joined)
-    names = [f"{n}_{c}" for n in components for c in P3]
-    if joined.count() < minimum_rows:
+def probability_stack(
+    components: Mapping[str, DataFrame], labels: DataFrame, predict: Mapping[str, DataFrame] | None = None, *, mode: str = "regression", minimum_rows: int = 120, c: float = 0.2
+) -> DataFrame:
+    """Fit on labelled fixtures, predict those of `predict` (other component tables; without it, the same ones).
+
+    mode `regression`: logistic regression of inverse strength `c` on the log component probabilities, which are kept
+    above 1e-8 and renormalised; fewer than `minimum_rows` labelled fixtures are an error. mode `best`: the component of
+    the lowest log loss. The mode is a column of the result.
+    """
+    if mode not in ("regression", "best"):
+        raise ValueError(f"unknown stacking mode {mode!r}")
+    target = components if predict is None else predict
+
+    def logs(tables: Mapping[str, DataFrame], base: DataFrame) -> DataFrame:
+        for name, df in tables.items():
+            kept = [F.greatest(F.col(p), F.lit(1e-8)) for p in P3]
+            total = kept[0] + kept[1] + kept[2]
+            base = base.join(df.select("fixture_id", *[F.ln(k / total).alias(f"{name}_{p}") for k, p in zip(kept, P3)]), "fixture_id")
+        return VectorAssembler(inputCols=[f"{n}_{p}" for n in components for p in P3], outputCol="features").transform(base)
+
+    if mode == "best":
         scored = [df.join(labels, "fixture_id").withColumns(V.row_scores()).agg(F.avg("_log_loss").alias("l")).withColumn("m", F.lit(n)) for n, df in components.items()]
         table = scored[0]
         for s in scored[1:]:
             table = table.unionAll(s)
         best = table.agg(F.min_by("m", "l").alias("m")).first()["m"]
-        return components[best].select("fixture_id", *P3)
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(joined).withColumn("target", F.col("target").cast("double"))
-    model = LogisticRegression(family="multinomial", labelCol="target", maxIter=50, regParam=0.01).fit(rows)
-    return with_probabilities(model, rows).select("fixture_id", *P3)
+        return target[best].select("fixture_id", *P3, F.lit(mode).alias("mode"))
+    rows = cut_lineage(logs(components, labels).withColumn("target", F.col("target").cast("double")))
+    n = rows.count()
+    if n < minimum_rows:
+        raise ValueError(f"{n} labelled fixtures are too few to stack, {minimum_rows} are needed")
+    model = LogisticRegression(family="multinomial", labelCol="target", maxIter=50, regParam=1.0 / (c * n)).fit(rows)
+    wanted = next(iter(target.values())).select("fixture_id")
+    return with_probabilities(model, logs(target, wanted)).select("fixture_id", *P3, F.lit(mode).alias("mode"))
 
 
 def permutation_importance(model, df: DataFrame, features: Sequence[str], columns: Sequence[str] | None = None, *, label: str = "target", repeats: int = 2, seed: int = 11) -> DataFrame:
@@ -148,16 +165,20 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], column
     return scores.groupBy("feature").agg(F.avg(reference - F.col("s")).alias("importance_mean"), F.stddev_pop(F.col("s")).alias("importance_std"))
 
 
-def hyperparameter_search(df: DataFrame, make: Callable[[dict], object], space: Mapping[str, Sequence], *, date: str, samples: int = 10, n_splits: int = 3, label: str = "target", seed: int = 42) -> DataFrame:
-    """Random search over expanding time folds; every fit is a distributed job."""
+def hyperparameter_search(df: DataFrame, make: Callable[[dict, int], object], space: Mapping[str, Sequence], *, date: str, samples: int = 10, n_splits: int = 3, label: str = "target", seed: int = 42) -> DataFrame:
+    """Random search over expanding time folds; every fit is a distributed job.
+
+    `make(params, rows)` gives an estimator for a candidate and the number of its training rows.
+    """
     rng = random.Random(seed)
     grid = [{k: rng.choice(list(v)) for k, v in space.items()} for _ in range(samples)]
     tagged = cut_lineage(W.assign_folds(df, W.rolling_origin_folds(df, date, n_splits=n_splits), date))
+    sizes = {r["fold"]: r["n"] for r in tagged.where("role = 'train'").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for i, params in enumerate(grid):
         for fold in range(n_splits):
             part = tagged.where(F.col("fold") == fold)
-            model = make(params).fit(part.where("role = 'train'"))
+            model = make(params, sizes[fold]).fit(part.where("role = 'train'"))
             scored = with_probabilities(model, part.where("role = 'test'")).withColumns(V.row_scores(label))
             row = scored.agg(F.avg("_log_loss").alias("log_loss")).select(F.lit(i).alias("candidate"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), F.lit(fold).alias("fold"), "log_loss")
             out = row if out is None else out.unionAll(row)
@@ -212,10 +233,11 @@ def feature_ablation(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], *
 
     for fold in range(n_splits):
         train, test = (tagged.where((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "test"))
+        rows = train.count()
         keep("class_prior", class_prior(train, test, label))
         for name, features in feature_sets.items():
             fill = lambda d: VectorAssembler(inputCols=list(features), outputCol="features").transform(impute(d, train, features))  # noqa: E731,B023
-            model = no_market_classifier(label=label, rows=1000).fit(fill(train))
+            model = no_market_classifier(label=label, rows=rows).fit(fill(train))
             keep(name, with_probabilities(model, fill(test)))
         if poisson is not None:
             keep("walk_forward_poisson", test.drop(*P3).join(poisson.select("fixture_id", *P3), "fixture_id"))

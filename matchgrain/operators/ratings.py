@@ -114,11 +114,11 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
     other side fixed each factor has a closed form (weighted goals over weighted expectation,
     with a prior of `prior_matches` average matches), so an iteration is one join and one
     aggregation over all leagues at once, for any number of teams. Teams with little history
-    stay near 1, the league mean.
+    stay near 1, the league mean. Only matches strictly before `as_of` count; without it, before the last kickoff.
     """
     done = matches.where(F.col("home_goals").isNotNull())
     at = done.agg(F.max("kickoff_utc")).scalar() if as_of is None else as_of
-    past = done.where(F.col("kickoff_utc") < at) if as_of is not None else done
+    past = done.where(F.col("kickoff_utc") < at)
     w = F.pow(F.lit(2.0), -days_between(at, F.col("kickoff_utc")) / half_life_days)
     side = lambda me, other: F.struct(
         F.col(f"{me}_team_id").alias("team_id"), F.col(f"{other}_team_id").alias("opponent_id"), F.col(f"{me}_goals").cast("double").alias("gf"),

@@ -88,14 +88,15 @@ def r9(b):
 @query("r10_permutation_importance")
 def r10(b):
     x = matrix(b).drop(*L.P3)
-    model = L.no_market_classifier().fit(x.where("part = 'train'"))
-    return L.permutation_importance(model, x.where("part = 'test'"), FORM, FORM[2:4], repeats=2)
+    train = x.where("part = 'train'")
+    model = L.no_market_classifier(rows=train.count()).fit(train)
+    return L.permutation_importance(model, x.where("part = 'test'"), FORM, repeats=2)
 
 
 @query("r11_hyperparameter_search")
 def r11(b):
     x = matrix(b).drop("part", *L.P3)
-    return L.hyperparameter_search(x, lambda p: L.no_market_classifier(c=p["c"], max_iter=10), {"c": [0.05, 0.2, 1.0]}, date="day", samples=2, n_splits=2)
+    return L.hyperparameter_search(x, lambda p, n: L.no_market_classifier(rows=n, c=p["c"], max_iter=10), {"c": [0.05, 0.2, 1.0]}, date="day", samples=2, n_splits=2)
 
 
 @query("r12_training_matrix")
