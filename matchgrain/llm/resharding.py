@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a cell, on average.
-CELL = 50_000
+CELL = 5_000
 
 
 @dataclass(frozen=True)
