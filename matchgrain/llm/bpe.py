@@ -18,6 +18,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -221,10 +222,10 @@ class TrieEncoder:
         """The ids of each text."""
         split = [chunks_of(t) for t in texts]
         self.chunks.turn()
-        self.add_chunks(self.chunks.missing({c for chunks in split for c in chunks}))
+        self.add_chunks(self.chunks.missing(set().union(*split)))
         young = self.chunks.young
         for chunks in split:
-            yield [i for c in chunks for i in young[c]]
+            yield list(chain.from_iterable(map(young.__getitem__, chunks)))
 
     def decoded(self, ids: list[int]) -> str:
         """What the library's decoder makes of ids, special tokens included: the token strings joined by spaces."""

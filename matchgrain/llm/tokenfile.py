@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,13 @@ class LibraryEncoder:
     def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
         split = [chunks_of(t) for t in texts]
         self.chunks.turn()
-        fresh = self.chunks.missing({c for chunks in split for c in chunks})
+        fresh = self.chunks.missing(set().union(*split))
         young = self.chunks.young
         for base in range(0, len(fresh), 10_000):
             part = fresh[base : base + 10_000]
             young.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
         for chunks in split:
-            yield [i for c in chunks for i in young[c]]
+            yield list(chain.from_iterable(map(young.__getitem__, chunks)))
 
 
 _LIBRARIES: dict[str, LibraryEncoder] = {}
