@@ -159,8 +159,10 @@ def judge(signed: DataFrame, cutoffs: DataFrame, stratum: str = "lang", signals:
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of `docs`, with all their columns, that pass the base rule and the fitted cutoffs.
 
-    Signals of all rows are written once without the texts, to fit the cutoffs; the texts are then judged in place, so
-    they are not shuffled.
+    Signals of all rows are written once without the texts; the rejected rows, as (doc_id, stratum, hash of the text), are
+    then taken out by an anti join. Structs compare null fields as equal, so rows without a doc_id are judged as well.
     """
-    signed = cut_lineage(with_signals(docs.select("doc_id", stratum, "text")).drop("text"))
-    return judge(with_signals(docs), fit_cutoffs(signed, labels, stratum), stratum).where("_kept").select(*docs.columns)
+    row = F.struct(F.col("doc_id").alias("id"), F.col(stratum).alias("stratum"), F.xxhash64("text").alias("text"))
+    signed = cut_lineage(with_signals(docs.select("doc_id", stratum, "text", row.alias("_row"))).drop("text"))
+    rejected = judge(signed, fit_cutoffs(signed, labels, stratum), stratum).where("not _kept").select("_row").distinct()
+    return docs.withColumn("_row", row).join(rejected, "_row", "left_anti").select(*docs.columns)
