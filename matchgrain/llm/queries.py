@@ -145,7 +145,9 @@ FROM src AS d LEFT JOIN t_lists AS l ON l.text_key = md5(d.text)
 """
 
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    """The mask as text, `start-end` pairs joined by commas."""
+    spans = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ","))
 
 
 OP1_SQL = r"""
@@ -164,7 +166,7 @@ pieces AS (
 parts AS (
   SELECT conv_id, perspective, part, count(*) AS n_turns, coalesce(sum(length(text) + 10) FILTER (WHERE target), 0)::BIGINT AS n_target,
     string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS text, sum(n)::BIGINT AS n_chars,
-    coalesce(list(struct_pack("start" := (pos + length(head))::INTEGER, "end" := (pos + length(head) + length(text) + 10)::INTEGER) ORDER BY k) FILTER (WHERE target), []) AS mask
+    coalesce(string_agg((pos + length(head))::BIGINT || '-' || (pos + length(head) + length(text) + 10)::BIGINT, ',' ORDER BY k) FILTER (WHERE target), '') AS mask
   FROM walked GROUP BY 1, 2, 3
 )
 SELECT conv_id, perspective, part, n_turns, n_target, text, mask,
