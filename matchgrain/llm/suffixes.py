@@ -82,19 +82,12 @@ def _runs(rows: list[int], bases: list[int], parts: list[bytes], window: int):
     return data, grams, np.array(rows, np.int64)[piece], place, first, last, shift
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, places: bool):
+def _anchors(batches: Iterator[pa.RecordBatch], window: int):
+    """Anchors with their places in the texts; overlapping pieces of a text may give one place twice."""
     for batch, rows, bases, parts in _pieces(batches, 1, window):
         _, grams, row, place, _, _, shift = _runs(rows, bases, parts, window)
-        key = grams[place].view(np.int64)
-        text = pa.array(row)
-        if places:
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(text), pa.array((place + shift).astype(np.int64))], ["anchor", "text_key", "at"])
-        else:
-            order = np.lexsort((key, row))
-            twice = np.zeros(len(key), bool)
-            same = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
-            twice[order[1:]] = same
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(text), pa.array(twice)], ["anchor", "text_key", "twice"])
+        key = pa.array(grams[place].view(np.int64))
+        yield pa.RecordBatch.from_arrays([key, batch.column(0).take(pa.array(row)), pa.array((place + shift).astype(np.int64))], ["anchor", "text_key", "at"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, content: bool):
@@ -251,11 +244,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, busy: int = 5000, full: b
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
     long_ = rows.where(F.octet_length("text") >= window)
     classes = long_.groupBy("text_key").agg((F.count("*") > 1).alias("several"), F.min("doc_id").alias("owner"))
-    anchors = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window, False), "anchor long, text_key long, twice boolean")
-    shared = (
-        anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.max("twice").alias("twice"), F.count("*").alias("n")).where("a <> b or twice")
-    )
-    places = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window, True), "anchor long, text_key long, at long")
+    places = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window), "anchor long, text_key long, at long")
+    # Two places of one text may lie in pieces that no batch holds together, so they are told apart here.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("text_key", "at") for n, f in (("min", F.min), ("max", F.max))]
+    shared = places.groupBy("anchor").agg(*ends, F.count("*").alias("n")).where("min_text_key <> max_text_key or min_at <> max_at")
     hits = (
         places.join(shared.select("anchor", (F.col("n") > busy).alias("busy")), "anchor")
         .groupBy("text_key")

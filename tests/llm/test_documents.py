@@ -124,6 +124,19 @@ def test_repeated_bytes(docs, rows, nothing):
     assert any(0 < w[2] < w[1] for w in want)
 
 
+def test_repeats_in_pieces_of_one_long_text(spark):
+    rng = random.Random(11)
+    filler, passage = rng.randbytes(700_000).hex(), rng.randbytes(120).hex()
+    assert len(filler) > suffixes.PIECE + 200_000
+    cut = suffixes.PIECE + 100
+    texts = ["A" + passage + "B" + filler[:cut] + "C" + passage + "D" + filler[cut:], rng.randbytes(700_000).hex(), "E" + rng.randbytes(300).hex()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = ["AB" + filler[:cut] + "CD" + filler[cut:], *texts[1:]]
+    for busy in (5000, 1):
+        got = suffixes.remove_repeats(docs, busy=busy).collect()
+        same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in got], [(0, 480, 2, left[0]), (1, 0, 0, left[1]), (2, 0, 0, left[2])])
+
+
 def test_earlier_passages(docs, rows, nothing):
     first = {}
     for r in rows:
