@@ -88,3 +88,23 @@ def test_rotation(spark):
     assert key[1, "ann", 3].char_start == len(ann.text) and key[1, "ann", 3].n_target == len("<|im_end|>")
     assert ann.n_turns == 4 and ann.n_target == len("Hi < |im_end|><|im_end|>")
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_rotation_cuts_crowded_parts(spark):
+    rng = random.Random(8)
+    said = lambda: (rng.choice(["ann", "bob", "system", None]), rng.choice([None, "same", "x" * rng.randrange(9)]))
+    turns = [(None, rng.choice([0, 1, 300, None]), *said()) for _ in range(700)] + [(5, None, *said()) for _ in range(300)] + [(5, 3, "ann", "same")] * 200 + [(6, k, *said()) for k in range(64)]
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    assert max(r.n_turns for r in got) == chat.PART
+    assert all(r.n_target == sum(m.end - m.start for m in r.mask) for r in got)
+    for conv in (None, 5, 6):
+        own = sorted(((-1 if t is None else t, r or "unknown", x or "") for c, t, r, x in turns if c == conv))
+        assert {r.perspective for r in got if r.conv_id == conv} == {r for _, r, _ in own} - {"system"}
+        for who in {r for _, r, _ in own} - {"system"}:
+            rows = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, who)), key=lambda r: r.char_start)
+            name = lambda r: "assistant" if r == who else r if r == "system" else "user name=" + r
+            assert "".join(r.text for r in rows) == "".join(f"<|im_start|>{name(r)}\n{x}<|im_end|>\n" for _, r, x in own)
+            assert [r.char_start for r in rows] == [sum(len(x.text) for x in rows[:k]) for k in range(len(rows))]
+            assert [r.part for r in rows] == sorted(r.part for r in rows)
+            assert [r.text[m.start : m.end] for r in rows for m in r.mask] == [x + "<|im_end|>" for _, r, x in own if r == who]
+    assert len([r for r in got if r.conv_id == 6 and r.perspective == "ann"]) == 1
