@@ -9,8 +9,11 @@ of its words, times the number of its occurrences. Steps, for one batch of docum
 3. Multi-index Hamming search: fingerprints are cut into 32 blocks of 8 bits; an item is looked up if some block
    differs in at most one bit. Two fingerprints within 63 bits always have such a block (32 * 2 > 63).
 4. Items within the radius are verified: sum of minima over sum of maxima of the shingle weights, at least 0.8.
-At similarity 0.8 fingerprints differ in 39 bits on average, with a standard deviation of 6, so the radius of 63 misses
-a window at the threshold with about 1e-5; all windows of a passage would have to be missed.
+If all weights are equal, fingerprints at similarity 0.8 differ in 39 bits on average, with a standard deviation of 6, and the
+radius of 63 misses a window at the threshold with about 1e-5. Where the difference lies in heavier shingles more bits differ. So
+fingerprints decide only if item and window are even: no shingle weighs more than EVEN times the mean shingle (weighted by itself),
+and the effective number of shingles, (sum)^2 / sum of squares, is MANY at least, as a few heavy ones may cancel.
+At that limit 44 bits differ at most on average, by a normal approximation, and a miss has about 5e-4. Any other item or window is verified with all items (or windows) it shares a shingle with.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from matchgrain.llm.textcore import bounded, mix, run_hashes, words_of
 
 WORDS, THRESHOLD = 5, 0.8
 BITS, BLOCK_BITS, RADIUS = 256, 8, 63
+EVEN, MANY = 1.25, 16
 #: Bytes of item texts that are broadcast at once; more items take more passes over the documents.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 20
@@ -61,6 +65,14 @@ def fingerprints(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1)
 
 
+def even(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each window, given as rows of shingles and their weights: no shingle occurs twice, none weighs much more than the rest, and a few do not outweigh it."""
+    ordered = np.sort(shingles, axis=1)
+    twice = (ordered[:, 1:] == ordered[:, :-1]).any(1)
+    total, squares = weights.sum(1), (weights * weights).sum(1)
+    return ~twice & (weights.max(1) * total <= EVEN * squares) & (total * total >= MANY * squares)
+
+
 @dataclass
 class Items:
     """Index of a block of items."""
@@ -68,6 +80,7 @@ class Items:
     ids: list[int] = field(default_factory=list)
     size: list[int] = field(default_factory=list)  # words
     bags: list[dict[int, int]] = field(default_factory=list)  # shingle: occurrences * letters
+    even: list[bool] = field(default_factory=list)
     marks: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = field(default_factory=dict)  # by shingle words: filter, items of a shingle
     groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by size: items, fingerprints, table of near keys
 
@@ -88,6 +101,7 @@ def build_items(rows: list[tuple[int, str]]) -> Items:
         for s, w in zip(shingles.tolist(), weights.tolist()):
             bag[s] += w
         index.bags.append(dict(bag))
+        index.even.append(bool(even(shingles[None, :], weights[None, :])[0]))
         for s in bag:
             holders[words][s].append(at)
         prints[len(hashes)].append((at, fingerprints(shingles[None, :], weights[None, :])[0]))
@@ -138,6 +152,8 @@ def find_items(texts: pa.Array, index: Items, threshold: float) -> list[tuple[in
                     windows[size, span].append((row, s))
         for (size, span), pairs in windows.items():
             items, codes, near = index.groups[size]
+            number = {int(item): k for k, item in enumerate(items)}
+            odd = not all(index.even[i] for i in number)
             for base in range(0, len(pairs), 4096):
                 part = pairs[base : base + 4096]
                 place = np.array([s for _, s in part])[:, None] + np.arange(span - words + 1)
@@ -145,9 +161,13 @@ def find_items(texts: pa.Array, index: Items, threshold: float) -> list[tuple[in
                 close = np.zeros((len(part), len(items)), bool)
                 for block in range(BITS // BLOCK_BITS):
                     close |= near[block, prints[:, block]]
-                for w, k in zip(*np.nonzero(close)):
-                    if np.bitwise_count(prints[w] ^ codes[k]).sum() > RADIUS:
-                        continue
+                pairs_ = {(w, k) for w, k in zip(*(x.tolist() for x in np.nonzero(close))) if np.bitwise_count(prints[w] ^ codes[k]).sum() <= RADIUS}
+                level = even(shingles[place], weights[place])
+                for w in range(len(part)) if odd else np.flatnonzero(~level).tolist():
+                    for item in {i for s in shingles[place[w]].tolist() for i in holders.get(s, ())}:
+                        if index.size[item] == size and not (level[w] and index.even[item]):
+                            pairs_.add((w, number[item]))
+                for w, k in pairs_:
                     bag: Counter = Counter()
                     for s, x in zip(shingles[place[w]].tolist(), weights[place[w]].tolist()):
                         bag[s] += x

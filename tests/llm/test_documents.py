@@ -387,3 +387,20 @@ def test_contamination(spark, nothing):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
     assert decontaminate.without_contaminated(docs, benchmark.limit(0)).count() == len(table)
     assert len(got) >= 24
+
+
+def test_contamination_with_very_long_words(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items, table = [], []
+    for k in range(60):
+        if k % 2:  # two heavy shingles of the item
+            ws, last = [word(n) for n in (2, 40, 2, 2, 2, 2, 2)], word(2)
+        else:  # one heavy shingle of the document
+            ws, last = [word(5) for _ in range(30)], word(100)
+        items.append((k, " ".join(ws)))
+        table.append((k, " ".join(["start", *ws[:-1], last, "end"])))
+    want = brute_hits(table, items)
+    found = decontaminate.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    same([(r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in found.collect()], want)
+    assert len(want) == 60
