@@ -1,11 +1,11 @@
-"""Passages that occur in an earlier document, by compressed FM-indexes over shards of text.
+"""Passages that occur in an earlier document, by FM-indexes over shards of text.
 
 Texts are routed to shards by content, so that equal windows of `window` words always meet in one shard:
 a window's route is the hash of its anchor (see `anchors`), and consecutive windows with one anchor travel as one segment.
 Only anchors that occur in two different texts are routed; a window whose anchor occurs in one text is in no other.
 A shard keeps its distinct segments, each with the smallest doc_id that holds it, as an FM-index: the Burrows-Wheeler
-transform of the word sequence in a wavelet matrix. The segments are then streamed through backward search; where the
-matching statistics reach `window` words, the interval of suffixes gives the smallest doc_id that holds the window.
+transform of the word sequence in a wavelet matrix. Each window of the segments then goes through a backward search of
+its own, and its interval of suffixes gives the smallest doc_id that holds it. The index is not compressed, and no other match lengths are computed.
 An anchor with more than `busy` occurrences routes each of its windows by itself, by the hash of the whole window,
 so what surrounds a very common passage is spread over the shards, and equal windows are one row before they get there.
 Documents with equal texts are one text: the smallest doc_id stands for it, the others lose every window they have.
