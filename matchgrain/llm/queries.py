@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrain.functions.storage import cut_lineage
-from matchgrain.llm import bpe, chat, decontaminate, fmindex, lines, minhash, quality, resharding, suffixes, tables, tokenfile
+from matchgrain.llm import bpe, chat, collocations, decontaminate, fmindex, lines, minhash, packing, quality, ranking, resharding, suffixes, tables, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -214,6 +214,67 @@ def op10_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.checksums(tokenfile.read_tokens(spark, folder))
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest([1, 2, 3, 4]) AS t(k), unnest(generate_series(1, len(ws) - k + 1)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+n AS (SELECT lang, count(*)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.a, i, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+  FROM c, unnest(generate_series(1, k - 1)) AS t(i)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:i], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(ws[i + 1:], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+o AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, unnest([2, 3]) AS t(m), unnest(generate_series(1, k - m + 1)) AS u(i) WHERE m < k
+  ) GROUP BY 1, 2
+), r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase))::INTEGER AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE coalesce(100 * longer < 80 * a, true)
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
+def byte_bpe() -> str:
+    """Path of the public byte-level vocabulary; it is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
+def op13_pipelined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+m AS (SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM d, c),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY 1),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN f ON f.term = i.term JOIN w ON w.term = i.term JOIN m ON m.doc_id = f.doc_id GROUP BY 1, 2
+), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_template_tree": op2_template_tree,
@@ -225,6 +286,9 @@ QUERIES = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_fm_index": op9_fm_index,
     "op10_parquet_tokens": op10_parquet_tokens,
+    "op11_toivonen_phrases": op11_toivonen_phrases,
+    "op12_bin_completion": op12_bin_completion,
+    "op13_pipelined_terms": op13_pipelined_terms,
 }
 ORACLES = {
     "op1_perspective_rotation": OP1_SQL,
@@ -232,4 +296,6 @@ ORACLES = {
     "op3_minhash_odd_sketch": OP3_SQL,
     "op8_risk_controlled_rules": OP8_SQL,
     "op9_fm_index": OP9_SQL,
+    "op11_toivonen_phrases": OP11_SQL,
+    "op13_pipelined_terms": OP13_SQL,
 }
