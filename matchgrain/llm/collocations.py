@@ -7,7 +7,7 @@ phrase of the border turns out to be frequent the border has failed: it joins th
 by it. Each failure makes phrases one word longer possible, so at most three such passes close the set. All counts are exact
 and over all documents; sample and threshold only decide how many runs a pass counts and how many passes there are.
 
-* A run is known by two 64-bit hashes of (lang, words), 128 bits together; its text is looked up once, for frequent ones.
+* A run is known by its length and two hashes of (lang, words), 126 bits together; its text is looked up once, for frequent ones.
 * The proposed phrases travel as hash filters of a bounded size. What a filter finds by chance is counted too, and is as exact; a run is
   left to a later pass by the same filters that a pass before has used, so none is counted twice.
 * Runs are counted per Arrow batch, then in Spark by partial aggregation: no word, lang or source is one task.
@@ -36,7 +36,7 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
 #: Share of the documents in the sample (a power of 1/2), and how often a phrase is in it to be proposed, as a share of what the threshold leads to expect.
 SAMPLE_BITS, LOWERED = 4, 0.8
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 FILTER_BITS = 1 << 28
 
 _END, _WORD = np.zeros(256, bool), np.ones(256, bool)
@@ -93,13 +93,17 @@ class Runs:
         n = len(self.ids) - length + 1
         return self.piece[:n] == self.piece[length - 1 :] if n > 0 else np.empty(0, bool)
 
-    def hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the run at each place, its lang among them."""
+    def hashes(self, length: int) -> np.ndarray:
+        """Hash of the run at each place, its lang and length among them."""
         n = max(0, len(self.ids) - length + 1)
-        step = np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))
-        first = mix(run_hashes(self.symbols, length) + self.salt[:n] + step)
-        second = mix(run_hashes(mix(self.symbols + np.uint64(0xD6E8FEB86659FD93)), length) ^ (self.salt[:n] + step))
-        return first, second
+        return mix(run_hashes(self.symbols, length) + self.salt[:n] + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def second_hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Another hash of the runs that begin at some places; its last two bits are the length less 1."""
+        value = mix(self.salt[at] + np.uint64(0xD6E8FEB86659FD93))
+        for k in range(length):
+            value = mix(value * np.uint64(0xC2B2AE3D27D4EB4F) + self.symbols[at + k])
+        return value & ~np.uint64(3) | np.uint64(length - 1)
 
     def texts(self, at: np.ndarray, length: int) -> pa.Array:
         parts = [self.words.take(pa.array(self.ids[at + k])) for k in range(length)]
@@ -118,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
         before = None  # of runs a word shorter: in a filter, in one before the newest
         for length in range(1, longest + 1):
             places = np.flatnonzero(runs.whole(length))
-            first, second = runs.hashes(length)
+            first = runs.hashes(length)
             if spell:
                 places = places[filters[0].has(first[places])]
             elif filters:
@@ -133,23 +137,30 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
                 for f in filters[:-1]:
                     old |= f.has(first)
                 before = old | filters[-1].has(first), old
-            order = places[np.lexsort((second[places], first[places]))] if len(places) else places
-            a, b = first[order], second[order]
+            order = places[np.argsort(first[places])]
+            a, b = first[order], runs.second_hashes(order, length)
+            if (b[1:] != b[:-1])[a[1:] == a[:-1]].any():  # two runs with one first hash
+                resort = np.lexsort((b, a))
+                order, a, b = order[resort], a[resort], b[resort]
             edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(order) else np.empty(0, np.int64)
             some = order[edge]
-            columns = [pa.array(np.full(len(edge), length, np.int32)), pa.array(first[some].view(np.int64)), pa.array(second[some].view(np.int64))]
+            columns = [pa.array(a[edge].view(np.int64)), pa.array(b[edge].view(np.int64))]
             if spell:
                 names = runs.langs.take(pa.array(runs.lang[some])) if len(some) else pa.array([], pa.string())
                 columns += [names, runs.texts(some, length).cast(pa.string())]
             else:
                 columns.append(pa.array(np.diff(np.append(edge, len(order)))))
-            yield pa.RecordBatch.from_arrays(columns, ["k", "h", "g", "lang", "phrase"] if spell else ["k", "h", "g", "a"])
+            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "lang", "phrase"] if spell else ["h", "g", "a"])
 
 
 def _counted(rows: DataFrame, filters: list[HashFilter], longest: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(filters) if filters else None
-    found = rows.mapInArrow(lambda b: _count(b, shared, longest, False), "k int, h long, g long, a long")
-    return found.groupBy("k", "h", "g").agg(F.sum("a").alias("a"))
+    found = rows.mapInArrow(lambda b: _count(b, shared, longest, False), "h long, g long, a long")
+    return found.groupBy("h", "g").agg(F.sum("a").alias("a"))
+
+
+def _length():
+    return F.col("g").bitwiseAND(3) + 1
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE_BITS, lowered: float = LOWERED) -> DataFrame:
@@ -168,7 +179,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE
         # Only frequent runs are kept: what is rarer has no part in any result, and no longer run with it is frequent.
         counts = stored(_counted(rows, filters, LONGEST).where(F.col("a") >= least), "counts")
         passes.append(counts)
-        failed = counts.where(F.col("k") < LONGEST).join(proposed, "h", "left_anti").select("h")
+        failed = counts.where(_length() < LONGEST).join(proposed, "h", "left_anti").select("h")
         number = failed.count()
         if not number:
             break
@@ -179,9 +190,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE
     for more in passes[1:]:
         frequent = frequent.unionByName(more)
     shared = spark.sparkContext.broadcast([hash_filter(frequent.select("h"), "h", frequent.count(), FILTER_BITS)])
-    spelt = rows.mapInArrow(lambda b: _count(b, shared, LONGEST, True), "k int, h long, g long, lang string, phrase string")
-    names = spelt.groupBy("k", "h", "g").agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase"))
-    return stored(frequent.join(names, ["k", "h", "g"]).select("lang", "k", "phrase", "a"), "phrases")
+    spelt = rows.mapInArrow(lambda b: _count(b, shared, LONGEST, True), "h long, g long, lang string, phrase string")
+    names = spelt.groupBy("h", "g").agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase"))
+    return stored(frequent.join(names, ["h", "g"]).select("lang", _length().cast("int").alias("k"), "phrase", "a"), "phrases")
 
 
 def _words(batches: Iterator[pa.RecordBatch]):
