@@ -12,10 +12,8 @@ its local start plus the ids of all parts before; the part totals are one row a
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchgrain.functions.storage import cut_lineage
-from matchgrain.llm.bpe import KEEP, Recent, chunks_of
+from matchgrain.llm.chunkids import chunk_ids, word_chunks
 from matchgrain.llm.textcore import bounded
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
@@ -35,50 +33,21 @@ FEW_FILES = 100_000
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES = 32 << 20, 16 << 20, 64 << 10
 
 
-class LibraryEncoder:
-    """The `tokenizers` library, asked once for each distinct chunk between white space; a vocabulary of words splits there."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library, self.chunks = Tokenizer.from_file(path), Recent(KEEP)
-        self.library.no_truncation(), self.library.no_padding()
-
-    def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
-        split = [chunks_of(t) for t in texts]
-        self.chunks.turn()
-        fresh = self.chunks.missing(set().union(*split))
-        young = self.chunks.young
-        for base in range(0, len(fresh), 10_000):
-            part = fresh[base : base + 10_000]
-            young.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
-        for chunks in split:
-            yield list(chain.from_iterable(map(young.__getitem__, chunks)))
-
-
-_LIBRARIES: dict[str, LibraryEncoder] = {}
-
-
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int):
-    if path not in _LIBRARIES:
-        _LIBRARIES[path] = LibraryEncoder(path)
-    bpe, part, start = _LIBRARIES[path], TaskContext.get().partitionId(), 0
-    for batch in bounded(batches, "text", 2 << 20):
-        lists = [np.array([*ids, end], np.int32) for ids in bpe.encoded(batch.column(1).to_pylist())]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        ends = start + np.cumsum(sizes)
+    encoder, part, start = chunk_ids(path, word_chunks), TaskContext.get().partitionId(), 0
+    for batch in bounded(batches, "text", 4 << 20):
+        ids, offsets = encoder.encoded_with_end(batch.column(1), end)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(len(sizes), part, np.int32)),
+                pa.array(np.full(batch.num_rows, part, np.int32)),
                 batch.column(0),
-                pa.array(ends - sizes),
-                pa.array(sizes.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(lists))),
+                pa.array(start + offsets[:-1]),
+                pa.array(np.diff(offsets).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
             ],
             ["part", "doc_id", "local_start", "n_tokens", "ids"],
         )
-        start = int(ends[-1])
+        start += int(offsets[-1])
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int = 1, file_bytes: int = FILE_BYTES) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -335,23 +336,27 @@ def brute_hits(docs, items):
     def bag(ws, k):
         out = Counter()
         for i in range(len(ws) - k + 1):
-            out[tuple(ws[i : i + k])] += sum(map(len, ws[i : i + k]))
+            out[tuple(ws[i : i + k])] += sum(len(w.encode()) for w in ws[i : i + k])
         return out
 
-    found = []
+    cut = lambda text: re.findall(r"[^\W_]+", (text or "").lower().replace("ß", "ss"))
+    found = {}
     for doc, text in docs:
-        ws = [w.lower() for w in words(text)]
+        ws = cut(text)
         for item, item_text in items:
-            iw = [w.lower() for w in words(item_text)]
-            if not iw or not ws:
-                continue
-            k, span = min(5, len(iw)), min(len(iw), len(ws))
-            if span < k:
-                continue
-            best = max((_sim(bag(ws[s : s + span], k), bag(iw, k)), -s) for s in range(len(ws) - span + 1))
-            if best[0] >= 0.8:
-                found.append((doc, item, round(best[0], 9), -best[1], span))
-    return found
+            whole = cut(item_text)
+            n = len(whole)
+            parts = [(whole, 0.35 if n >= 10 else 0.8)] if n else []
+            if n >= 20:
+                parts += [(whole[a : a + n // 2], 0.5) for a in (0, (n - n // 2) // 2, n - n // 2)]
+            for iw, limit in parts:
+                k, span = min(3, len(iw)), min(len(iw), len(ws))
+                if not ws or span < k:
+                    continue
+                best = max((_sim(bag(ws[s : s + span], k), bag(iw, k)), -s, span) for s in range(len(ws) - span + 1))
+                if best[0] >= limit:
+                    found[doc, item] = max(best, found.get((doc, item), best))
+    return [(doc, item, round(s, 9), -at, span) for (doc, item), (s, at, span) in found.items()]
 
 
 def _sim(a, b):
@@ -373,6 +378,10 @@ def test_contamination(spark, nothing):
         texts.append(prose(rng, 9) + " " + " ".join(ws[: len(ws) // 2]) + " " + prose(rng, 9))
         texts.append(text + " " + text)
         texts.append(" ".join(ws[:-1]))
+        texts.append(prose(rng, 30) + " " + "! ".join(ws[len(ws) // 4 : len(ws) // 4 + len(ws) // 2]) + ", " + prose(rng, 30))  # a half from the middle
+        for m in (2, 3):  # some words changed
+            edited = [w if (i + 3) % (len(ws) // m) else "new" for i, w in enumerate(ws)]
+            texts.append(prose(rng, 12) + "\n" + " - ".join(edited).upper())
     texts += ["", None, "a short item here", "short", "now FOUR words in it.", "solo", prose(rng, 3000), "it " * 500]
     table = [(i, t, "kept") for i, t in enumerate(texts)] + [(None, "short item", "kept")]
     docs = spark.createDataFrame(table, "doc_id long, text string, similarity string")
@@ -387,6 +396,7 @@ def test_contamination(spark, nothing):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
     assert decontaminate.without_contaminated(docs, benchmark.limit(0)).count() == len(table)
     assert len(got) >= 24
+    assert len({(d, i) for d, i, *_ in got if i is not None and d is not None}) >= 8 * 8
 
 
 def test_contamination_with_very_long_words(spark):
