@@ -102,16 +102,14 @@ def probability_metrics(df: DataFrame, keys=("model_id",), target: str = "target
 
 
 def reliability_curve(df: DataFrame, probability: str, observed: str) -> DataFrame:
-    """V3: isotonic fit; one row per fitted level. Equal forecasts are pooled before the fit."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    pooled = df.groupBy(F.col(probability).alias("p")).agg(F.avg(F.col(observed).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(pooled)
-    fitted = IsotonicRegression(weightCol="w").fit(rows).transform(rows)
-    n = F.sum("w")
-    return fitted.groupBy(F.round("prediction", 12).alias("fitted_rate")).agg(
-        (F.sum(F.col("p") * F.col("w")) / n).alias("forecast_mean"), (F.sum(F.col("label") * F.col("w")) / n).alias("observed_rate"), n.cast("bigint").alias("count")
+    """V3: isotonic fit; one row per fitted level. Equal forecasts are pooled before the fit, rows without a forecast or an outcome are left out."""
+    from matchgrain.operators.isotonic import isotonic_pools
+
+    rows = df.select(F.col(probability).cast("double").alias("p"), F.col(observed).cast("double").alias("y")).where("p IS NOT NULL AND NOT isnan(p) AND y IS NOT NULL")
+    points = rows.groupBy((F.col("p") + F.lit(0.0)).alias("p")).agg(F.sum("y").alias("hits"), F.count(F.lit(1)).cast("double").alias("weight"))
+    rate = F.col("hits") / F.col("weight")
+    return isotonic_pools(points).select(
+        F.round(rate, 12).alias("fitted_rate"), (F.col("moment") / F.col("weight")).alias("forecast_mean"), rate.alias("observed_rate"), F.col("weight").cast("bigint").alias("count")
     )
 
 
@@ -217,24 +215,99 @@ def _block_sums(losses: DataFrame, order, values, block_length: int):
     return by_start.drop("_pos", *values), n, blocks, placed
 
 
-def block_bootstrap(losses: DataFrame, order, values, *, block_length: int, repetitions: int, seed: int) -> tuple[DataFrame, int, DataFrame]:
-    """Replicate means of each value under a circular block bootstrap.
+#: Block starts dealt to one segment at most, and draws of one segment over all replicates, about.
+SEGMENT, SEGMENT_DRAWS = 4096, 4_000_000
+#: Nodes of the tree are numbered from 1; this key draws the remainder blocks.
+_REMAINDER_KEY = 0
+
+
+def _random(seed: int, node: int, kind: int):
+    import numpy as np
+
+    return np.random.Generator(np.random.Philox(key=[(seed << 2 | kind) & (1 << 64) - 1, node]))
 
-    Block starts come from a hash of (seed, replicate, block); a replicate is `n / L` lookups
-    of precomputed block sums, not `n` rows.
+
+def segment_draws(seed: int, segment: int, segments: int, size: int, n: int, blocks: int, repetitions: int, known: dict):
+    """Draws of every replicate that fall into one segment of the block starts.
+
+    A binomial splitting tree over the segments: a node deals its replicates' draws to its two halves by the starts that each has, with
+    random numbers that belong to the node. So a segment walks down from the root and needs to know nothing of the others; over all segments
+    the draws of a replicate are `blocks`, and together they are multinomial. `known` keeps the nodes on the way.
     """
-    from matchgrain.operators.markets import hash_uniform
+    import numpy as np
+
+    low, high, node, counts = 0, segments, 1, np.full(repetitions, blocks, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (min(middle * size, n) - low * size) / (min(high * size, n) - low * size)
+        if node not in known:
+            known[node] = _random(seed, node, 1).binomial(counts, share)
+        left = known[node]
+        low, high, node, counts = (low, middle, 2 * node, left) if segment < middle else (middle, high, 2 * node + 1, counts - left)
+    return counts
+
+
+def _replicate_sums(batches, seed: int, size: int, n: int, blocks: int, repetitions: int, values: list[str]):
+    """Sums of the drawn blocks for each replicate, over the segments of a partition (rows lie in order of their start)."""
+    import numpy as np
+    import pyarrow as pa
+
+    segments = -(-n // size)
+    sums, drawn = np.zeros((len(values), repetitions)), np.zeros(repetitions, np.int64)
+    ends = _random(seed, _REMAINDER_KEY, 0).integers(0, n, repetitions)  # start of each replicate's last block, which may be shorter
+    known: dict = {}
+    held: list = []
+
+    def close():
+        table = pa.Table.from_batches(held)
+        start = table.column("_start").to_numpy()
+        segment, first = int(start[0]) // size, int(start[0])
+        full, rest = (np.stack([table.column(f"_{kind}_{v}").to_numpy() for v in values]) for kind in ("full", "rest"))
+        counts = segment_draws(seed, segment, segments, size, n, blocks - 1, repetitions, known)
+        edges = np.append(0, np.cumsum(counts))
+        picks = _random(seed, segment, 2).integers(0, len(start), edges[-1])
+        for k in range(len(values)):
+            total = np.append(0.0, np.cumsum(full[k][picks]))
+            sums[k] += total[edges[1:]] - total[edges[:-1]]
+        here = np.flatnonzero((ends >= first) & (ends < first + len(start)))
+        sums[:, here] += rest[:, ends[here] - first]
+        drawn[here] += 1
+        drawn[:] += counts
+        held.clear()
+        if len(known) > 64:
+            known.clear()
+
+    last = None
+    for batch in batches:
+        segment = batch.column(batch.schema.get_field_index("_start")).to_numpy() // size
+        cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(segment)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                if last is not None and segment[a] != last:
+                    close()
+                held.append(batch.slice(a, b - a))
+                last = segment[a]
+    if held:
+        close()
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(repetitions, dtype=np.int32)), pa.array(drawn), *[pa.array(x) for x in sums]], ["replicate", "_blocks", *values])
+
 
+def block_bootstrap(losses: DataFrame, order, values, *, block_length: int, repetitions: int, seed: int) -> tuple[DataFrame, int, DataFrame]:
+    """Replicate means of each value under a circular block bootstrap; `_blocks` counts the blocks of a replicate.
+
+    Block starts are cut into segments, and the number of a replicate's draws in a segment comes from a splitting tree
+    (`segment_draws`). A partition draws for all replicates and its segments and adds up before the shuffle: one row for each partition and
+    replicate, whatever the number of rows; nothing is joined.
+    """
     starts, n, blocks, placed = _block_sums(losses, order, values, block_length)
-    spark = losses.sparkSession
-    draws = spark.range(repetitions * blocks).select(
-        F.floor(F.col("id") / blocks).cast("int").alias("replicate"), (F.col("id") % blocks).alias("_blk")
-    )
-    draws = draws.withColumn("_start", F.least(F.floor(hash_uniform(seed, "replicate", "_blk") * n), F.lit(n - 1)).cast("bigint"))
-    last = F.col("_blk") == blocks - 1
-    means = draws.join(starts, "_start").groupBy("replicate").agg(
-        *[(F.sum(F.when(last, F.col(f"_rest_{v}")).otherwise(F.col(f"_full_{v}"))) / n).alias(v) for v in values]
-    )
+    values = list(values)
+    size = int(max(64, min(SEGMENT, SEGMENT_DRAWS * block_length // repetitions)))
+    columns = ["_start", *[f"_{kind}_{v}" for kind in ("full", "rest") for v in values]]
+    dealt = starts.select(*columns).repartition(F.floor(F.col("_start") / size)).sortWithinPartitions("_start")
+    schema = "replicate int, _blocks long, " + ", ".join(f"`{v}` double" for v in values)
+    parts = dealt.mapInArrow(lambda b: _replicate_sums(b, seed, size, n, blocks, repetitions, values), schema)
+    means = parts.groupBy("replicate").agg(F.sum("_blocks").alias("_blocks"), *[(F.sum(v) / n).alias(v) for v in values])
     return means, n, placed
 
 
@@ -271,7 +344,8 @@ def release_gate(champion: DataFrame, challenger: DataFrame, *, champion_id: str
     """One decision row from scores, bootstrap, calibration, cohorts and flags.
 
     Both sides need fixture_id, kickoff_utc, target and probabilities; a `cohort` column on the
-    champion switches the cohort check on. Different coverage or targets fail the job.
+    champion switches the cohort check on. Cohorts under 20 rows are not judged; cohorts_skipped says how many. Different
+    coverage or targets fail the job.
     """
     from matchgrain.functions.contracts import guard
     from matchgrain.functions.storage import cut_lineage
@@ -293,12 +367,14 @@ def release_gate(champion: DataFrame, challenger: DataFrame, *, champion_id: str
         expected_calibration_error(scored.withColumn("_o", F.col("target") == i), f"b_{c}", "_o").scalar() for i, c in enumerate(P3)
     ]
     worse = scored.where("cohort IS NOT NULL").groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_b_br") - F.col("_a_br")).alias("d"))
+    worse = cut_lineage(worse)
     bad = worse.where((F.col("n") >= 20) & (F.col("d") > cohort_limit)).agg(F.count(F.lit(1))).scalar()
+    skipped = worse.where(F.col("n") < 20).agg(F.count(F.lit(1))).scalar()
     out = scored.agg(
         ((F.avg("_b_ll") < F.avg("_a_ll")) & (F.avg("_b_br") < F.avg("_a_br"))).alias("primary_score_improved"),
     ).select(
         F.lit(champion_id).alias("champion_model_id"), F.lit(challenger_id).alias("challenger_model_id"), "primary_score_improved",
-        better.alias("paired_probability_better"), (F.greatest(*eces) <= ece_limit).alias("calibration_passed"), (bad == 0).alias("cohorts_passed"),
+        better.alias("paired_probability_better"), (F.greatest(*eces) <= ece_limit).alias("calibration_passed"), (bad == 0).alias("cohorts_passed"), skipped.alias("cohorts_skipped"),
         F.lit(coherence_passed).alias("coherence_passed"), F.lit(operations_passed).alias("operations_passed"),
     )
     passed = F.col("primary_score_improved") & (F.col("paired_probability_better") >= 0.90)
@@ -344,20 +420,20 @@ def fit_temperature(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def forecast_intervals(draws: DataFrame, keys=("fixture_id",)) -> DataFrame:
-    """Per fixture quantiles of each outcome over draws, and leader stability.
+    """Per fixture quantiles of each outcome over draws, and leader stability: one grouping.
 
-    draws: keys, draw, p_home, p_draw, p_away.
+    draws: keys, draw, p_home, p_draw, p_away. A fixture's state is its distinct draws, a number the caller sets.
     """
-    from matchgrain.operators.ranks import exact_quantiles
-
-    norm = S.normalize_probabilities(draws)
-    long = norm.select(*keys, "draw", F.inline(F.array(*[F.struct(F.lit(i).alias("outcome"), F.col(c).alias("p")) for i, c in enumerate(P3)])))
-    q = exact_quantiles(long, [*keys, "outcome"], "p", {"lower_80": 0.1, "lower_50": 0.25, "median": 0.5, "upper_50": 0.75, "upper_80": 0.9})
-    point = q.groupBy(*keys).agg(F.max_by("outcome", F.struct("median", -F.col("outcome"))).alias("_point"))
-    stable = norm.withColumn("_lead", S.leader(*P3)).join(point, list(keys)).groupBy(*keys).agg(
-        F.avg((F.col("_lead") == F.col("_point")).cast("double")).alias("leader_stability")
+    names = {"lower_80": 0.1, "lower_50": 0.25, "median": 0.5, "upper_50": 0.75, "upper_80": 0.9}
+    lead = S.leader(*P3)
+    levels = F.array(*[F.lit(q) for q in names.values()])
+    grouped = S.normalize_probabilities(draws).groupBy(*keys).agg(
+        *[F.percentile(c, levels).alias(f"_q{i}") for i, c in enumerate(P3)], *[F.avg((lead == i).cast("double")).alias(f"_l{i}") for i in range(3)]
     )
-    return q.join(stable, list(keys))
+    medians = [F.col(f"_q{i}")[2] for i in range(3)]
+    point = F.when((medians[0] >= medians[1]) & (medians[0] >= medians[2]), F.col("_l0")).when(medians[1] >= medians[2], F.col("_l1")).otherwise(F.col("_l2"))
+    rows = F.array(*[F.struct(F.lit(i).alias("outcome"), *[F.col(f"_q{i}")[k].alias(n) for k, n in enumerate(names)]) for i in range(3)])
+    return grouped.withColumn("leader_stability", point).select(*keys, "leader_stability", F.inline(rows))
 
 
 def interval_coverage(intervals: DataFrame, targets: DataFrame, keys=("fixture_id",), level: str = "80") -> DataFrame:

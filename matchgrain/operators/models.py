@@ -138,26 +138,20 @@ def probability_stack(
 def permutation_importance(model, df: DataFrame, features: Sequence[str], columns: Sequence[str] | None = None, *, label: str = "target", repeats: int = 2, seed: int = 11) -> DataFrame:
     """Accuracy drop when one column is shuffled, mean and spread over repeats.
 
-    A shuffle gives row number r the value of the row that a second hash order puts at r:
-    two position passes and one join per feature and repeat. `features` vectors are rebuilt.
+    Rows are numbered once; a shuffle gives row r the value of the row that a keyed permutation takes to r, so it is one equi-join
+    and no sort. `features` vectors are rebuilt.
     """
-    from matchgrain.operators.markets import hash_uniform
-    from matchgrain.operators.ordered import prior_totals
+    from matchgrain.operators.permute import permuted, row_numbers
 
-    base = cut_lineage(df.select("fixture_id", label, *features))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     hit = lambda d: model.transform(assembler.transform(d)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("s"))
-
-    def placed(d: DataFrame, salt: int) -> DataFrame:
-        keyed = d.withColumn("_u", hash_uniform(seed + salt, "fixture_id"))
-        return prior_totals(keyed, [], ["_u", "fixture_id"], F.floor(F.col("_u") * 1024), position="_r")
-
-    first = cut_lineage(placed(base, 0)).drop("_u")
-    whole = hit(base)
+    numbered, n = row_numbers(df.select("fixture_id", label, *features), "_r")
+    first = cut_lineage(numbered)
+    whole = hit(first)
     scores = None
     for i, f in enumerate(columns or features):
         for r in range(repeats):
-            other = placed(base.select("fixture_id", f), 1 + i * repeats + r).select("_r", F.col(f).alias("_v"))
+            other = first.select(permuted(F.col("_r"), n, seed + i * repeats + r).alias("_r"), F.col(f).alias("_v"))
             mixed = first.join(other, "_r").withColumn(f, F.col("_v")).drop("_v", "_r")
             row = hit(mixed).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col("s"))
             scores = row if scores is None else scores.unionAll(row)

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchgrain.functions.storage import cut_lineage
 from matchgrain.operators.ordered import prior_totals
 
 OCTAVE_STEPS = 4096
@@ -60,32 +61,19 @@ def with_ranks(
         raise ValueError(f"Unsupported rank method {method!r}")
     sources = list(outputs.values())
     group_key = F.struct(F.lit(0).alias("z"), *[F.col(g) for g in group]).alias("_g")
-    long = df.select(
-        group_key,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("_m"), (F.col(c).cast("double") + F.lit(0.0)).alias("_v"))
-                    for i, c in enumerate(sources)
-                ]
-            )
-        ),
-    )
+    # Rows get a number, once and for good; all columns go long with it, are ranked together and come back by one grouping.
+    rows = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    long = rows.select("_id", group_key, F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), number(c).alias("_v")) for i, c in enumerate(sources)])))
+    long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     table = value_ranks(long, ["_g", "_m"], "_v")
     below = F.col("_total") - F.col("_before") - F.col("_cnt") if descending else F.col("_before")
     rank = below + (F.col("_cnt") + 1) / F.lit(2.0) if method == "average" else below + 1
     if pct:
         rank = rank / F.col("_total")
-    table = table.select("_g", "_m", "_v", rank.alias("_rank"))
-    out = df.withColumn("_g", group_key)
-    for i, (name, source) in enumerate(outputs.items()):
-        part = table.where(F.col("_m") == i).select(
-            F.col("_g").alias("_g2"), F.col("_v").alias("_v2"), F.col("_rank").alias(name)
-        )
-        out = out.join(
-            part, (F.col("_g") == F.col("_g2")) & ((F.col(source).cast("double") + F.lit(0.0)) == F.col("_v2")), "left"
-        ).drop("_g2", "_v2")
-    return out.drop("_g")
+    found = long.join(table.select("_g", "_m", "_v", rank.alias("_rank")), ["_g", "_m", "_v"])
+    wide = found.groupBy("_id").agg(*[F.max(F.when(F.col("_m") == i, F.col("_rank"))).alias(name) for i, name in enumerate(outputs)])
+    return rows.join(wide, "_id", "left").drop("_id")
 
 
 def exact_quantiles(

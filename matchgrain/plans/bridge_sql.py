@@ -128,6 +128,8 @@ def with_views(sql: str, names: list[str]) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in ordered)
     text = sql.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{text}"

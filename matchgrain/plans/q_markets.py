@@ -73,7 +73,7 @@ def m8(b):
     ledger = M.bankroll_backtest(b.opportunities, keys=["league_id", "bookmaker"]).withColumn("season_id", F.year("kickoff_utc"))
     from matchgrain.functions.storage import cut_lineage
 
-    return M.backtest_summary(cut_lineage(ledger), groups=["season_id", "bookmaker"], repetitions=100)
+    return M.backtest_summary(cut_lineage(ledger), groups=["season_id", "bookmaker"])
 
 
 ROWS = """r AS (SELECT *, -ln(greatest(CASE target WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END, 1e-15)) AS ll,
@@ -95,9 +95,13 @@ def v2(b):
     return rounded(V.probability_metrics(b.scored))
 
 
-@query("v3_reliability_curve")
+#: The fit by means: a level ends where the mean from its first forecast on is lowest, last of equals.
+@query("v3_reliability_curve", """WITH RECURSIVE d AS (SELECT p_home AS p, sum((target = 0)::INT)::DOUBLE AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY p) AS i, p, w, sum(y) OVER (ORDER BY p) AS cy, sum(w) OVER (ORDER BY p) AS cw FROM d),
+   r(lo, y0, w0, hi, y1, w1) AS (SELECT 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::BIGINT, 0::DOUBLE, 0::DOUBLE UNION ALL
+     SELECT hi, y1, w1, b.i, b.cy, b.cw FROM (SELECT r.hi, r.y1, r.w1, max(struct_pack(s := -(c.cy - r.y1) / (c.cw - r.w1), i := c.i, cy := c.cy, cw := c.cw)) AS b FROM r JOIN c ON c.i > r.hi GROUP BY ALL))
+  SELECT round((y1 - y0) / (w1 - w0), 6) AS fitted_rate, round((SELECT sum(p * w) / sum(w) FROM c WHERE c.i > r.lo AND c.i <= r.hi), 6) AS forecast_mean, round((y1 - y0) / (w1 - w0), 6) AS observed_rate, (w1 - w0)::BIGINT AS count FROM r WHERE hi > 0""", "scored")
 def v3(b):
-    return V.reliability_curve(b.scored.withColumn("y", F.col("target") == 0), "p_home", "y")
+    return rounded(V.reliability_curve(b.scored.withColumn("y", F.col("target") == 0), "p_home", "y"))
 
 
 @query("v4_expected_calibration_error", """SELECT model_id, round(sum(n * abs(p - o)) / sum(n), 6) AS ece FROM (SELECT model_id, least(floor(p_home * 10), 9) AS bn, count(*) AS n, avg(p_home) AS p, avg((target = 0)::INT) AS o FROM scored GROUP BY ALL) GROUP BY 1""", "scored")
@@ -141,19 +145,19 @@ def losses(b):
 
 @query("v8_paired_block_interval")
 def v8(b):
-    return V.paired_block_interval(losses(b), "model", "uniform", block_length=8, repetitions=200)
+    return V.paired_block_interval(losses(b), "model", "uniform", block_length=8)
 
 
 @query("v9_reality_check")
 def v9(b):
     rows = losses(b).select("fixture_id", "kickoff_utc", (F.col("model") - F.col("uniform")).alias("a1"), (F.col("model") - F.col("flat")).alias("a2"))
-    return V.reality_check(rows, ["a1", "a2"], block_length=8, repetitions=200)
+    return V.reality_check(rows, ["a1", "a2"], block_length=8)
 
 
 @query("v10_release_gate")
 def v10(b):
     champion = b.scored.withColumn("cohort", F.col("edition_id"))
-    return V.release_gate(champion, V.apply_temperature(b.scored, 3.0), champion_id="m", challenger_id="m_flat", coherence_passed=True, operations_passed=True, repetitions=200)
+    return V.release_gate(champion, V.apply_temperature(b.scored, 3.0), champion_id="m", challenger_id="m_flat", coherence_passed=True, operations_passed=True)
 
 
 @query("v11_select_half_life", """WITH s AS (SELECT h AS half_life, year(kickoff_utc) AS fold, avg(pow(p_home - (target = 0)::INT, 2) * (1 + abs(h - 300) / 1000.0)) AS score FROM scored CROSS JOIN (VALUES (90.0), (365.0), (730.0)) v(h) GROUP BY ALL), m AS (SELECT half_life, avg(score) AS mean_score FROM s GROUP BY 1)
