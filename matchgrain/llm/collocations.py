@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchgrain.functions.storage import cut_lineage
 from matchgrain.llm.rawtext import HashFilter, hash_filter, raw_bytes, strings_of
 from matchgrain.llm.tables import stored
 from matchgrain.llm.textcore import bounded, mix, run_hashes
@@ -36,7 +35,7 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
 #: Share of the documents in the sample (a power of 1/2), and how often a phrase is in it to be proposed, as a share of what the threshold leads to expect.
 SAMPLE_BITS, LOWERED = 4, 0.8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, OUT_ROWS = 4 << 20, 1 << 16
 FILTER_BITS = 1 << 28
 
 _END, _WORD = np.zeros(256, bool), np.ones(256, bool)
@@ -114,7 +113,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
     """Runs and their numbers, per batch.
 
     shared: filters of proposed phrases, the newest last (none: all runs count); a run counts whose parts are in them, unless its parts
-    are in those before the newest. spell: give the text instead of the number, for runs that are themselves in the filter.
+    are in those before the newest. spell: give the text too, for runs that are themselves in the filter, and the number of words of each lang, under hashes 0.
     """
     filters: list[HashFilter] = shared.value if shared else []
     for batch in bounded(batches, "text", BATCH_BYTES):
@@ -148,23 +147,28 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
             if spell:
                 names = runs.langs.take(pa.array(runs.lang[some])) if len(some) else pa.array([], pa.string())
                 columns += [names, runs.texts(some, length).cast(pa.string())]
-            else:
-                columns.append(pa.array(np.diff(np.append(edge, len(order)))))
-            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "lang", "phrase"] if spell else ["h", "g", "a"])
+            columns.append(pa.array(np.diff(np.append(edge, len(order)))))
+            whole = pa.RecordBatch.from_arrays(columns, ["h", "g", "lang", "phrase", "a"] if spell else ["h", "g", "a"])
+            for base in range(0, whole.num_rows, OUT_ROWS):
+                yield whole.slice(base, OUT_ROWS)
+        if spell:  # the words of each lang
+            zero, n = pa.array(np.zeros(len(runs.langs), np.int64)), np.bincount(runs.lang, minlength=len(runs.langs))
+            yield pa.RecordBatch.from_arrays([zero, zero, runs.langs, pa.array([""] * len(n), pa.string()), pa.array(n.astype(np.int64))], ["h", "g", "lang", "phrase", "a"])
 
 
 def _counted(rows: DataFrame, filters: list[HashFilter], longest: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(filters) if filters else None
     found = rows.mapInArrow(lambda b: _count(b, shared, longest, False), "h long, g long, a long")
-    return found.groupBy("h", "g").agg(F.sum("a").alias("a"))
+    # A batch has each run once, so a second aggregation in the same task finds little to add up: rows go to their owners first.
+    return found.repartition("h", "g").groupBy("h", "g").agg(F.sum("a").alias("a"))
 
 
 def _length():
     return F.col("g").bitwiseAND(3) + 1
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE_BITS, lowered: float = LOWERED) -> DataFrame:
-    """(lang, k, phrase, a): every run of one to four words that occurs at least `least` times in the texts of its lang, with its count.
+def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE_BITS, lowered: float = LOWERED) -> tuple[DataFrame, DataFrame]:
+    """(lang, k, phrase, a), and the words of each lang (lang, n): every run of one to four words that occurs at least `least` times in the texts of its lang, with its count.
 
     `docs` has lang (null: `und`) and text. The sample is the documents of which the last `sample_bits` bits of a hash of the text are 0.
     """
@@ -190,16 +194,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample_bits: int = SAMPLE
     for more in passes[1:]:
         frequent = frequent.unionByName(more)
     shared = spark.sparkContext.broadcast([hash_filter(frequent.select("h"), "h", frequent.count(), FILTER_BITS)])
-    spelt = rows.mapInArrow(lambda b: _count(b, shared, LONGEST, True), "h long, g long, lang string, phrase string")
-    names = spelt.groupBy("h", "g").agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase"))
-    return stored(frequent.join(names, ["h", "g"]).select("lang", _length().cast("int").alias("k"), "phrase", "a"), "phrases")
-
-
-def _words(batches: Iterator[pa.RecordBatch]):
-    for batch in bounded(batches, "text", BATCH_BYTES):
-        runs = Runs(*_cut_long(batch.column(1), batch.column(0)))
-        counts = np.bincount(runs.lang, minlength=len(runs.langs))
-        yield pa.RecordBatch.from_arrays([runs.langs, pa.array(counts.astype(np.int64))], ["lang", "n"])
+    spelt = rows.mapInArrow(lambda b: _count(b, shared, LONGEST, True), "h long, g long, lang string, phrase string, a long")
+    spelt = stored(spelt.groupBy("h", "g", "lang").agg(F.any_value("phrase").alias("phrase"), F.sum("a").alias("n")), "spelt")
+    words = spelt.where("phrase = ''").select("lang", "n")
+    return stored(frequent.join(spelt.select("h", "g", "lang", "phrase"), ["h", "g"]).select("lang", _length().cast("int").alias("k"), "phrase", "a"), "phrases"), words
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, score: int = 2_000_000, covered: int = 80, **sampling) -> DataFrame:
@@ -210,7 +208,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, score: int =
     `covered` percent of its count. n: words of the lang. Null and empty texts have no words, a null lang is `und`;
     each row counts, repeated rows too; without frequent phrases the result is empty. Other columns are ignored, as is doc_id.
     """
-    phrases = frequent_phrases(docs, least, **sampling)
+    phrases, words = frequent_phrases(docs, least, **sampling)
     candidates = phrases.where("k > 1").withColumn("_w", F.split("phrase", " "))
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1))
     part = lambda at, n: F.array_join(F.slice("_w", at, n), " ")
@@ -228,6 +226,4 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, score: int =
     left = best.join(inside, ["lang", "phrase"], "left").where(~over).select("lang", "phrase", "a", "_b.*")
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     first = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # Spark cuts to `top` rows a lang before the shuffle
-    rows = docs.selectExpr("cast(lang as string) lang", "cast(text as string) text").where("length(text) > 0")
-    totals = cut_lineage(rows.mapInArrow(_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
-    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return first.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
