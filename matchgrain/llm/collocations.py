@@ -116,6 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
     are in those before the newest. spell: give the text too, for runs that are themselves in the filter, and the number of words of each lang, under hashes 0.
     """
     filters: list[HashFilter] = shared.value if shared else []
+    spelt: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in bounded(batches, "text", BATCH_BYTES):
         runs = Runs(*_cut_long(batch.column(1), batch.column(0)))
         before = None  # of runs a word shorter: in a filter, in one before the newest
@@ -142,12 +143,20 @@ def _count(batches: Iterator[pa.RecordBatch], shared, longest: int, spell: bool)
                 resort = np.lexsort((b, a))
                 order, a, b = order[resort], a[resort], b[resort]
             edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(order) else np.empty(0, np.int64)
+            if spell and len(edge):  # a task spells a run once
+                known_a, known_b = spelt.get(length, (np.empty(0, np.uint64), np.empty(0, np.uint64)))
+                at = np.minimum(np.searchsorted(known_a, a[edge]), max(0, len(known_a) - 1))
+                edge = edge[~((known_a[at] == a[edge]) & (known_b[at] == b[edge]))] if len(known_a) else edge
+                joined = np.append(known_a, a[edge])
+                resort = np.argsort(joined, kind="stable")
+                spelt[length] = joined[resort], np.append(known_b, b[edge])[resort]
             some = order[edge]
             columns = [pa.array(a[edge].view(np.int64)), pa.array(b[edge].view(np.int64))]
             if spell:
                 names = runs.langs.take(pa.array(runs.lang[some])) if len(some) else pa.array([], pa.string())
-                columns += [names, runs.texts(some, length).cast(pa.string())]
-            columns.append(pa.array(np.diff(np.append(edge, len(order)))))
+                columns += [names, runs.texts(some, length).cast(pa.string()), pa.array(np.zeros(len(some), np.int64))]
+            else:
+                columns.append(pa.array(np.diff(np.append(edge, len(order)))))
             whole = pa.RecordBatch.from_arrays(columns, ["h", "g", "lang", "phrase", "a"] if spell else ["h", "g", "a"])
             for base in range(0, whole.num_rows, OUT_ROWS):
                 yield whole.slice(base, OUT_ROWS)
