@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.functions.scalars import covariate_differences
@@ -38,9 +38,16 @@ def feature_contract(train: DataFrame, features: Sequence[str]) -> dict:
     return {"feature_names": list(features), "imputation_values": {f: float(row[f"m{i}"]) for i, f in enumerate(features)}}
 
 
-def rank_covariate_fit(matches: DataFrame, features=("rank_difference", "elo_difference", "rest_difference", "form_difference"), *, alpha: float = 0.1) -> tuple[PipelineModel, PipelineModel]:
-    """Two Poisson regressions on standardised differences."""
-    rows = covariate_differences(matches)
+def rank_covariate_fit(matches: DataFrame, features=("rank_difference", "elo_difference", "rest_difference", "form_difference"), *, cutoff: Column, alpha: float = 0.1) -> tuple[PipelineModel, PipelineModel]:
+    """Two Poisson regressions on standardised differences, from results of matches that began before `cutoff`.
+
+    Fewer of these than max(4, features + 1) are an error.
+    """
+    past = matches.where((F.col("kickoff_utc") < cutoff) & F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull())
+    rows = cut_lineage(covariate_differences(past).select(*features, "home_goals", "away_goals"))
+    least = max(4, len(features) + 1)
+    if (n := rows.count()) < least:
+        raise ValueError(f"{n} results before the cut-off are too few, {least} are needed")
     models = []
     for side in ("home", "away"):
         stages = [
@@ -52,10 +59,11 @@ def rank_covariate_fit(matches: DataFrame, features=("rank_difference", "elo_dif
 
 
 def rank_covariate_rates(models: tuple[PipelineModel, PipelineModel], df: DataFrame) -> DataFrame:
+    """home_rate and away_rate of any fixtures, 1e-6 at least."""
     out = covariate_differences(df)
     for m in models:
         out = m.transform(out).drop("_raw", "_x")
-    return out
+    return out.withColumns({c: F.greatest(F.col(c), F.lit(1e-6)) for c in ("home_rate", "away_rate")})
 
 
 def no_market_classifier(features: str = "features", label: str = "target", *, rows: int, c: float = 0.2, max_iter: int = 50) -> Pipeline:

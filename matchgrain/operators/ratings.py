@@ -107,7 +107,7 @@ def rating_rows(history: DataFrame) -> DataFrame:
     return history.select("fixture_id", "league_id", F.col("kickoff_utc").alias("observed_at"), F.inline(F.array(side("home"), side("away"))))
 
 
-def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half_life_days: float = 365.0, prior_matches: float = 4.0, iterations: int = 5) -> DataFrame:
+def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half_life_days: float = 365.0, prior_matches: float = 4.0, tolerance: float = 1e-6, most_iterations: int = 100, least_matches: int = 2) -> DataFrame:
     """Time-decayed attack and defence factors per team and league, by alternating updates.
 
     Goals are Poisson with rate base x home effect x attack x opponent's defence. With the
@@ -115,6 +115,9 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
     with a prior of `prior_matches` average matches), so an iteration is one join and one
     aggregation over all leagues at once, for any number of teams. Teams with little history
     stay near 1, the league mean. Only matches strictly before `as_of` count; without it, before the last kickoff.
+    Defence is updated with the attack of the same step, until no factor moves by more than `tolerance`: a step is written to reliable
+    storage and sends one number to the driver. `residual` is the largest move of the last step. A fit that does not settle, and a
+    history of fewer than `least_matches` matches, are errors.
     """
     done = matches.where(F.col("home_goals").isNotNull())
     at = done.agg(F.max("kickoff_utc")).scalar() if as_of is None else as_of
@@ -138,16 +141,25 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
         )
     )
     teams = pairs.select("league_id", "team_id").distinct().withColumns({"attack": F.lit(1.0), "defense": F.lit(1.0)})
-    for _ in range(iterations):
-        factors = teams.select("league_id", F.col("team_id").alias("opponent_id"), "attack", "defense")
-        k = F.lit(float(prior_matches))
-        teams = cut_lineage(
-            pairs.join(factors, ["league_id", "opponent_id"]).groupBy("league_id", "team_id").agg(
-                ((F.sum("gf") + k) / (F.sum(F.col("ef") * F.col("defense")) + k)).alias("attack"),
-                ((F.sum("ga") + k) / (F.sum(F.col("ea") * F.col("attack")) + k)).alias("defense"),
-            )
+    if (n := past.count()) < least_matches:
+        raise ValueError(f"{n} earlier results are too few, {least_matches} are needed")
+    k = F.lit(float(prior_matches))
+    opponents = lambda f, c: f.select("league_id", F.col("team_id").alias("opponent_id"), c)
+    for _ in range(most_iterations):
+        attack = pairs.join(opponents(teams, "defense"), ["league_id", "opponent_id"]).groupBy("league_id", "team_id").agg(
+            ((F.sum("gf") + k) / (F.sum(F.col("ef") * F.col("defense")) + k)).alias("attack")
         )
-    return teams.join(league, "league_id")
+        defense = pairs.join(opponents(attack, "attack"), ["league_id", "opponent_id"]).groupBy("league_id", "team_id").agg(
+            ((F.sum("ga") + k) / (F.sum(F.col("ea") * F.col("attack")) + k)).alias("defense")
+        )
+        before = teams.select("league_id", "team_id", F.col("attack").alias("_a"), F.col("defense").alias("_d"))
+        moved = F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defense") - F.col("_d")))
+        step = cut_lineage(attack.join(defense, ["league_id", "team_id"]).join(before, ["league_id", "team_id"]).withColumn("_m", moved).drop("_a", "_d"))
+        residual = step.agg(F.max("_m")).first()[0]
+        teams = step.drop("_m")
+        if residual <= tolerance:
+            return teams.join(league, "league_id").withColumn("residual", F.lit(residual))
+    raise RuntimeError(f"goal strengths still move by {residual:g} after {most_iterations} steps")
 
 
 def strength_rates(fixtures: DataFrame, strengths: DataFrame) -> DataFrame:

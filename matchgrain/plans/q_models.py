@@ -47,15 +47,17 @@ def r3(b):
 def r4(b):
     s = R.team_goal_strengths(b.matches)
     rho = R.fit_low_score_rho(R.strength_rates(b.completed, s))
-    return rounded(s.join(rho, "league_id"))
+    return rounded(s.drop("residual").join(rho, "league_id"))
 
 
 @query("r5_rank_covariate_goals")
 def r5(b):
-    m = b.completed.select("fixture_id", "home_goals", "away_goals", (F.col("home_team_id") % 20).alias("home_rank"), (F.col("away_team_id") % 20).alias("away_rank"),
+    m = b.completed.select("fixture_id", "kickoff_utc", "home_goals", "away_goals", (F.col("home_team_id") % 20).alias("home_rank"), (F.col("away_team_id") % 20).alias("away_rank"),
                            (F.col("home_team_id") % 300).alias("home_elo"), (F.col("away_team_id") % 300).alias("away_elo"))
     names = ("rank_difference", "elo_difference")
-    return rounded(L.rank_covariate_rates(L.rank_covariate_fit(m, names), m).select("fixture_id", "home_rate", "away_rate"))
+    cutoff = F.lit("1998-01-01").cast("timestamp_ntz")
+    later = m.where(F.col("kickoff_utc") >= cutoff)
+    return rounded(L.rank_covariate_rates(L.rank_covariate_fit(m, names, cutoff=cutoff), later).select("fixture_id", "home_rate", "away_rate"))
 
 
 @query("r6_no_market_classifier")
@@ -110,7 +112,7 @@ def v14(b):
     from matchgrain.operators.grids import fixed_poisson_grid, one_x_two
 
     def fit_predict(train, test):
-        rated = R.strength_rates(test, R.team_goal_strengths(train, iterations=3)).select("fixture_id", "home_rate", "away_rate", "home_goals", "away_goals")
+        rated = R.strength_rates(test, R.team_goal_strengths(train)).select("fixture_id", "home_rate", "away_rate", "home_goals", "away_goals")
         return rated.join(one_x_two(fixed_poisson_grid(rated)), "fixture_id")
 
     at = lambda s: F.lit(s).cast("timestamp_ntz")
