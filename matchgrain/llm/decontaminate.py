@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrain.llm.textcore import bounded, mix, run_hashes, words_of
+from matchgrain.llm.textcore import bounded, compact, mix, run_hashes, words_of
 
 WORDS = 3
 THRESHOLD, LONG, SHORT_THRESHOLD = 0.35, 10, 0.8
@@ -46,7 +46,7 @@ FILTER_BITS = 20
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its letters in bytes, offsets)."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.utf8_lower(compact(texts))
     for old, new in (("ß", "ss"), ("ς", "σ")):
         texts = pc.replace_substring(texts, old, new)
     ids, vocabulary, offsets = words_of(pc.replace_substring_regex(texts, r"[^\p{L}\p{M}\p{N}]+", " "), lower=False)

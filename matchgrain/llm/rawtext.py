@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrain.llm.textcore import mix
+from matchgrain.llm.textcore import compact, mix
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts in a row, offset of each text); a null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     _, ends, data = texts.buffers()
     offsets = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or offsets[-1] == offsets[0]:

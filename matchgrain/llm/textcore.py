@@ -32,11 +32,27 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8
             start = end
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The same strings as an array of its own, in 64-bit offsets; a null is empty. Some Arrow functions misread slices of large arrays."""
+    wide = pa.types.is_large_string(texts.type)
+    if not wide and not pa.types.is_string(texts.type):
+        raise TypeError(f"strings are needed, not {texts.type}")
+    valid, ends, data = texts.buffers()
+    n = len(texts)
+    offsets = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if ends is not None and n else np.zeros(n + 1, np.int64)
+    letters = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if texts.null_count:  # whatever lies under a null goes
+        sizes = np.diff(offsets)
+        known = texts.is_valid().to_numpy(False)
+        letters = letters[np.repeat(known, sizes)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(known, sizes, 0))])
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
 def words_of(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(id of each word, the distinct words as bytes, offset of each text's first word). A null has no words."""
-    if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
-    texts = pc.fill_null(texts, "")
+    texts = compact(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])

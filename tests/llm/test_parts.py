@@ -4,12 +4,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from matchgrain.llm import chat
 from matchgrain.llm.fmindex import earliest_holders
 from matchgrain.llm.graph import components
 from matchgrain.llm.gsaca import suffix_array
+from matchgrain.llm.rawtext import raw_bytes
 from matchgrain.llm.suffixes import repeated_windows
+from matchgrain.llm.textcore import compact, words_of
 
 
 def test_suffix_array_by_grouping():
@@ -108,3 +111,21 @@ def test_rotation_cuts_crowded_parts(spark):
             assert [r.part for r in rows] == sorted(r.part for r in rows)
             assert [r.text[m.start : m.end] for r in rows for m in r.mask] == [x + "<|im_end|>" for _, r, x in own if r == who]
     assert len([r for r in got if r.conv_id == 6 and r.perspective == "ann"]) == 1
+
+
+def test_words_of_slices_of_large_arrays():
+    rng = random.Random(2)
+    texts = [None if k % 97 == 0 else " ".join(rng.choice(["Aé", "bb", "c\t", "d\n\n", "", "x" * 30]) for _ in range(rng.randrange(900))) for k in range(3000)]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for start, n in ((0, 700), (700, 1300), (1313, 1266), (2990, 10), (5, 0)):
+            fresh = pa.array(texts[start : start + n], kind)
+            for lower in (False, True):
+                ids, vocabulary, offsets = words_of(whole.slice(start, n), lower)
+                spelt = vocabulary.to_pylist()
+                cut = [(t or "").encode().split() for t in texts[start : start + n]]
+                want = [w.lower() if lower else w for ws in cut for w in ws]
+                assert [spelt[i] for i in ids] == want and np.diff(offsets).tolist() == [len(ws) for ws in cut]
+            data, ends = raw_bytes(whole.slice(start, n))
+            assert bytes(data) == "".join(t or "" for t in texts[start : start + n]).encode() and len(ends) == n + 1
+            assert compact(whole.slice(start, n)).to_pylist() == [t or "" for t in fresh.to_pylist()]
