@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,22 +92,52 @@ def cheapest_flow(blocks: list[Block], shards: int) -> dict[Block, list[int]]:
     return {block: [net.room[e ^ 1] for e in es] for block, es in arcs.items()}
 
 
+def _measured(docs: DataFrame, shard: Column) -> DataFrame:
+    """One struct per row of `docs`, so that its names cannot clash, and what placing needs beside it."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    return docs.select(
+        F.struct("*").alias("_row"),
+        F.coalesce(shard.cast("int"), F.lit(0)).alias("old_shard"),
+        size.alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.length(F.bin(size)).alias("_kind"),
+        F.xxhash64("doc_id", "text").alias("_hash"),
+    )
+
+
+def _ranked(placed: DataFrame, keys: list[str], counts: list[tuple], schema: str) -> DataFrame:
+    """`_rank` of each row in its group of `keys`, from 0 without gaps; `counts` are the groups and their rows.
+
+    Cells lie in ranges over the tasks: a task holds ranks that follow each other, so few shards are written by each task.
+    """
+    cells = placed.sparkSession.createDataFrame([(*group, -(-n // CELL)) for *group, n in counts], f"{schema}, _cells int")
+    placed = placed.join(F.broadcast(cells), keys).withColumn("_cell", F.pmod("_hash", F.col("_cells"))).drop("_cells")
+    cell = [*keys, "_cell"]
+    before = placed.groupBy(cell).agg(F.count("*").alias("_n"))
+    before = before.select(*cell, (F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy(*cell).orderBy("_hash", F.col("_row.doc_id"))) - 1
+    ranked = placed.repartitionByRange(*cell).withColumn("_rank", place)
+    return ranked.join(before, cell).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
+
+
+def _opened(rows: DataFrame, *added: str) -> DataFrame:
+    names = [f.name for f in rows.schema["_row"].dataType.fields if f.name not in added]
+    return rows.select(*[F.col("_row").getField(n).alias(n) for n in names], *added)
+
+
+ADDED = ("size", "text_crc32", "old_shard", "slot", "shard")
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 16) -> tuple[DataFrame, list[int]]:
     """(rows, affected): every row of `docs` with its new place, and the new shards whose files change.
 
     rows has the columns of `docs` and size (UTF-8 bytes of text, 0 for null, plus 1), text_crc32, old_shard, shard and slot; a column
-    of one of these names is replaced. Slots count from 0 without gaps in each shard; row counts of shards are at
-    most one apart. A null old shard counts as shard 0. The old number may exceed the new ones; such shards dissolve.
-    Repeated rows each have a slot of their own (which of them has which is open); an empty table gives no rows.
+    of one of these names is replaced, all others are kept, whatever their names. Slots count from 0 without gaps in each shard; row
+    counts of shards are at most one apart. A null old shard counts as shard 0. The old number may exceed the new ones; such shards
+    dissolve. Repeated rows each have a slot of their own (which of them has which is open); an empty table gives no rows.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    placed = docs.withColumns(
-        {
-            "old_shard": F.coalesce(old_shard.cast("int"), F.lit(0)),
-            "size": (F.octet_length(text) + 1).cast("long"),
-            "text_crc32": F.crc32(text.cast("binary")),
-        }
-    ).withColumns({"_kind": F.length(F.bin("size")), "_hash": F.xxhash64("doc_id", "text")})
+    placed = _measured(docs, old_shard)
     tally = placed.groupBy("old_shard", "_kind").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     blocks = [Block(r["old_shard"], r["_kind"], r["rows"], r["bytes"]) for r in sorted(tally, key=lambda r: (r["old_shard"], r["_kind"]))]
     flow = cheapest_flow(blocks, shards)
@@ -120,24 +150,41 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16) -> tuple[DataF
                 low, filled[shard] = low + parts[shard], filled[shard] + parts[shard]
                 if shard != block.shard:
                     affected |= {shard, block.shard}
-    cells = [(b.shard, b.kind, -(-b.rows // CELL)) for b in blocks]
     schema = "old_shard int, _kind int"
-    # Both tables have at most old shards * 64 * new shards rows.
-    placed = placed.join(F.broadcast(spark.createDataFrame(cells, f"{schema}, _cells int")), ["old_shard", "_kind"]).withColumn("_cell", F.pmod("_hash", F.col("_cells")))
-    cell = ["old_shard", "_kind", "_cell"]
-    before = placed.groupBy(cell).agg(F.count("*").alias("_n"))
-    before = before.select(*cell, (F.sum("_n").over(W.partitionBy("old_shard", "_kind").orderBy("_cell")) - F.col("_n")).alias("_before"))
-    ranked = placed.withColumn("_rank", F.row_number().over(W.partitionBy(*cell).orderBy("_hash", "doc_id")) - 1).join(before, cell)
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = _ranked(placed, ["old_shard", "_kind"], [(b.shard, b.kind, b.rows) for b in blocks], schema)
+    # At most old shards * 64 * new shards rows.
     spans = spark.createDataFrame(ranges, f"{schema}, _low long, _high long, shard int, _first long")
-    rows = ranked.drop("shard").join(F.broadcast(spans), ["old_shard", "_kind"]).where("_rank >= _low and _rank < _high")
+    rows = ranked.join(F.broadcast(spans), ["old_shard", "_kind"]).where("_rank >= _low and _rank < _high")
     rows = rows.withColumn("slot", F.col("_first") + F.col("_rank") - F.col("_low"))
-    return rows.drop("_kind", "_hash", "_cells", "_cell", "_before", "_rank", "_low", "_high", "_first"), sorted(a for a in affected if a < shards)
+    return _opened(rows, *ADDED), sorted(a for a in affected if a < shards)
+
 
+def _write(rows: DataFrame, folder: str, mode: str) -> None:
+    rows.sortWithinPartitions("shard", "slot").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
 
-def rewrite_affected(rows: DataFrame, affected: list[int], folder: str) -> None:
-    """Write the files of the affected shards only, as folder/shard=N; the others stay as they are."""
+
+def write_layout(docs: DataFrame, shard: Column, folder: str) -> None:
+    """Write `docs` into a new folder as folder/shard=N with the columns of `reshard`'s rows; slots without gaps, a null shard is 0."""
+    placed = _measured(docs, shard)
+    counts = [tuple(r) for r in placed.groupBy("old_shard").count().collect()]
+    ranked = _ranked(placed, ["old_shard"], counts, "old_shard int")
+    _write(_opened(ranked.withColumns({"shard": F.col("old_shard"), "slot": F.col("_rank").cast("long")}), *ADDED), folder, "error")
+
+
+def rewrite_affected(rows: DataFrame, affected: list[int], folder: str, shards: int = 16) -> None:
+    """Rewrite the files of the affected shards in folder/shard=N; the others stay as they are.
+
+    `rows` may come from reading the folder itself: files are replaced when the job is committed. Then the folders of shards
+    that dissolve (N >= `shards`) or keep no row are deleted, so that a row that has moved is there once. Between commit and
+    deletion moved rows are there twice; readers wait until the call returns. `rows` cannot be evaluated afterwards.
+    """
+    spark, seen = rows.sparkSession, Observation()
     out = rows.where(F.col("shard").isin(affected)) if affected else rows.limit(0)
-    out.repartition("shard", F.floor(F.col("slot") / CELL)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("shard").parquet(folder)
+    _write(out.observe(seen, F.collect_set("shard").alias("shards")), folder, "overwrite")
+    filled = set(seen.get["shards"])
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(root):
+        name, _, number = entry.getPath().getName().partition("=")
+        if name == "shard" and (int(number) >= shards or (int(number) in affected and int(number) not in filled)):
+            files.delete(entry.getPath(), True)

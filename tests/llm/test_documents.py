@@ -262,6 +262,31 @@ def test_flow_moves_the_fewest_bytes():
         assert all(sum(parts) == b.rows for b, parts in flow.items())
 
 
+def test_rewritten_layout_holds_every_row_once(spark, rows, docs, nothing, tmp_path):
+    from pyspark.sql import functions as F
+
+    table = docs.select("doc_id", "text", "source").withColumns({"_kind": F.lit("mine"), "_row": F.lit(1), "_hash": F.lit(2)})
+    for old, new in ((8, 4), (3, 5), (2, len(rows) + 6)):
+        folder = str(tmp_path / f"s{old}")
+        resharding.write_layout(table, F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(old)), folder)
+        before = spark.read.parquet(folder)
+        assert before.count() == len(rows)
+        placed, affected = resharding.reshard(before, F.col("shard"), shards=new)
+        resharding.rewrite_affected(placed, affected, folder, new)
+        got = spark.read.schema(placed.schema).parquet(folder).collect()
+        same([(r.doc_id, r.text) for r in got], [(r[0], r[1]) for r in rows])
+        assert {(r["_kind"], r["_row"], r["_hash"]) for r in got} == {("mine", 1, 2)}
+        counts = Counter(r.shard for r in got)
+        assert max(counts) < new and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == min(new, len(rows))
+        for s in counts:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    folder = str(tmp_path / "none")
+    resharding.write_layout(nothing, F.lit(0), folder)
+    placed, affected = resharding.reshard(spark.read.schema(before.schema).parquet(folder), F.col("shard"))
+    resharding.rewrite_affected(placed, affected, folder)
+    assert spark.read.schema(placed.schema).parquet(folder).count() == 0
+
+
 def test_rewrite_touches_affected_shards_only(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
