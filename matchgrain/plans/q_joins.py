@@ -230,7 +230,7 @@ def c20(b):
     return joins.settle_predictions(log, results).select("fixture_id", "actual_result", "correct")
 
 
-@query("c21_best_bets", """WITH o AS (SELECT fixture_id, max(CASE WHEN selection = 'home' THEN decimal_price END) AS oh, max(CASE WHEN selection = 'draw' THEN decimal_price END) AS od, max(CASE WHEN selection = 'away' THEN decimal_price END) AS oa FROM quotes WHERE fixture_id % 4 > 0 GROUP BY 1),
+@query("c21_best_bets", """WITH o AS (SELECT fixture_id, max(CASE WHEN selection = 'home' THEN decimal_price END) AS oh, max(CASE WHEN selection = 'draw' THEN decimal_price END) AS od, max(CASE WHEN selection = 'away' THEN decimal_price END) AS oa FROM quotes GROUP BY 1),
   j AS (SELECT f.fixture_id, CASE WHEN f.fixture_id % 5 = 0 THEN 0.3::DOUBLE ELSE p_home END AS h, p_draw AS d, p_away AS a, oh, od, oa FROM forecasts f JOIN o USING (fixture_id) WHERE oh > 1 AND od > 1 AND oa > 1),
   x AS (SELECT fixture_id, unnest(['Home Win', 'Draw', 'Away Win']) AS pick, unnest([h, d, a]) / (h + d + a) AS p, unnest([oh, od, oa]) AS o, 1 / oh + 1 / od + 1 / oa AS s FROM j)
   SELECT fixture_id, pick, round(p::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS confidence, round((p - 1 / o / s)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS edge, round((1 / o / s)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS market_probability, round((p * o - 1)::VARCHAR::DECIMAL(38,18), 4)::DOUBLE AS expected_value,
@@ -238,7 +238,7 @@ def c20(b):
   FROM x WHERE p - 1 / o / s >= 0.03 AND p * o - 1 >= 0.03""", "quotes forecasts")
 def c21(b):
     price = lambda s: F.max(F.when(F.col("selection") == s, F.col("decimal_price")))
-    odds = b.quotes.where("fixture_id % 4 > 0").groupBy("fixture_id").agg(price("home").alias("B365H"), price("draw").alias("B365D"), price("away").alias("B365A"))
+    odds = b.quotes.groupBy("fixture_id").agg(price("home").alias("B365H"), price("draw").alias("B365D"), price("away").alias("B365A"))
     p = b.forecasts.select(
         "fixture_id", F.when(F.col("fixture_id") % 5 > 0, F.col("p_home")).otherwise(0.0).alias("HomeWin_Prob"), F.col("p_draw").alias("Draw_Prob"),
         F.col("p_away").alias("AwayWin_Prob"), F.lit(0.3).alias("PredHomeWin"),

@@ -49,11 +49,11 @@ def a1_prepared(b):
     return m.groupBy(F.col("edition_id").alias("edition")).agg(F.count(F.lit(1)).alias("matches"), F.sum("home_goals").alias("goals"), F.min("kickoff_utc").cast("timestamp_ntz").alias("first_kickoff"))
 
 
-@query("a2_union_seasons", """SELECT CAST(fixture_id AS VARCHAR) AS "Source", CAST(kickoff_utc AS DATE) AS "MatchDate", 'lg' AS "League", CASE WHEN year(kickoff_utc) = 1996 THEN 1 END AS "Extra" FROM matches WHERE year(kickoff_utc) IN (1995, 1996)""", "matches")
+@query("a2_union_seasons", """SELECT CAST(fixture_id AS VARCHAR) AS "Source", CAST(kickoff_utc AS DATE) AS "MatchDate", 'lg' AS "League", CASE WHEN year(kickoff_utc) > 1995 THEN 1 END AS "Extra" FROM matches""", "matches")
 def a2(b):
     h = tb.read_history(b.spark, history_path(b))
-    season = lambda y: h.where(F.col("MatchDate").endswith(str(y)))
-    out = tb.union_seasons({"95": season(1995), "96": season(1996).withColumn("Extra", F.lit(1)), "bad": h.drop("FullTimeResult")}, "lg")
+    late = F.substring("MatchDate", -4, 4).cast("int") > 1995
+    out = tb.union_seasons({"early": h.where(~late), "late": h.where(late).withColumn("Extra", F.lit(1)), "bad": h.drop("FullTimeResult")}, "lg")
     return out.select("Source", "MatchDate", "League", "Extra")
 
 

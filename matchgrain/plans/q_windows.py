@@ -155,12 +155,12 @@ def s3(b):
     return ledger.team_events(b.matches).groupBy("team_id", "venue_role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s4_dedupe_keep_last", "SELECT fixture_id, bookmaker, max(observed_at) AS observed_at, round(arg_max(decimal_price, observed_at), 6) AS decimal_price FROM quotes WHERE selection = 'away' GROUP BY ALL", "quotes")
+@query("s4_dedupe_keep_last", "SELECT fixture_id, bookmaker, selection, max(observed_at) AS observed_at, round(arg_max(decimal_price, observed_at), 6) AS decimal_price FROM quotes GROUP BY ALL", "quotes")
 def s4(b):
     from matchgrain.operators.joins import unique_by
 
-    rows = b.quotes.where("selection = 'away'").select("fixture_id", "bookmaker", "observed_at", "decimal_price")
-    return rounded(unique_by(rows, ["fixture_id", "bookmaker"], F.col("observed_at")))
+    rows = b.quotes.select("fixture_id", "bookmaker", "selection", "observed_at", "decimal_price")
+    return rounded(unique_by(rows, ["fixture_id", "bookmaker", "selection"], F.col("observed_at")))
 
 
 @query("s5_set_difference", """SELECT fixture_id, 'missing' AS difference FROM matches WHERE fixture_id NOT IN (SELECT fixture_id FROM quotes) UNION ALL SELECT DISTINCT fixture_id + 1, 'unexpected' FROM quotes WHERE fixture_id % 100 = 0 AND fixture_id + 1 NOT IN (SELECT fixture_id FROM matches)""", "matches quotes")

@@ -23,16 +23,23 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: s
 def latest_quotes(quotes: DataFrame, kickoffs: DataFrame, *, delay: str = "1 hour") -> DataFrame:
     """Latest pre-kickoff quote per key (update mode).
 
-    `kickoffs` is a static table; a quote at or after kickoff is unusable, however late it comes. The state is one
-    quote per key; keys stay in the state for as long as the stream runs, so start it anew per season.
+    `kickoffs` is a static table; a quote at or after kickoff is unusable, however late it comes. The state is one quote per
+    key. The kickoff is part of the key and carries the watermark, so a key leaves the state once the watermark passes its
+    kickoff. The watermark itself must follow the observations: a branch without rows carries theirs, and of several
+    watermarks Spark takes the smallest (`spark.sql.streaming.multipleWatermarkPolicy` = min, its default), so a key also waits
+    for a quote, usable or not, of a kickoff as late as its own, in the same run of the stream. A quote that
+    comes after that is dropped. A null observation or kickoff is unusable.
     """
     rest = ("observed_at", "decimal_price")
+    names = (*QUOTE_KEY, *rest, "kickoff_utc")
     usable = (
-        quotes.withWatermark("observed_at", delay)
-        .join(kickoffs.select("fixture_id", "kickoff_utc"), "fixture_id")
+        quotes.join(kickoffs.select("fixture_id", "kickoff_utc"), "fixture_id")
+        .withWatermark("kickoff_utc", "0 seconds")
         .where(F.col("observed_at") < F.col("kickoff_utc"))
     )
-    return usable.groupBy(*QUOTE_KEY).agg(F.max_by(F.struct(*rest), F.struct(*rest)).alias("q")).select(*QUOTE_KEY, "q.*")
+    clock = quotes.withColumn("kickoff_utc", F.col("observed_at")).withWatermark("kickoff_utc", delay).where("kickoff_utc IS NULL").where("observed_at IS NOT NULL")
+    latest = usable.select(*names).unionByName(clock.select(*names)).groupBy(*QUOTE_KEY, "kickoff_utc")
+    return latest.agg(F.max_by(F.struct(*rest), F.struct(*rest)).alias("q")).select(*QUOTE_KEY, "q.*")
 
 
 def with_fair_probability(latest: DataFrame) -> DataFrame:

@@ -137,3 +137,45 @@ def test_poisson_weights_belong_to_rows(spark):
     assert sums(1) == sums(6)
     totals = [s for _, s in sums(2)]
     assert np.mean(totals) == pytest.approx(3000, abs=5 * (3000 / 50) ** 0.5) and np.std(totals) == pytest.approx(3000**0.5, rel=0.4)
+
+
+def test_inventory_counts_pairs_and_sketches(spark):
+    from matchgrain.operators.aggregates import feature_inventory
+
+    rows = [(i % 7, float(i % 3) if i % 4 else None, f"t{i}" if i % 2 else "", [i % 5], bytearray([i % 9]), -0.0 if i % 2 else 0.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a int, odds_home double, c string, `d.e` array<int>, f binary, z double")
+    got = {r.column: r for r in feature_inventory(df).collect()}
+    assert {k: r.distinct_values for k, r in got.items()} == {"a": 7, "odds_home": 3, "c": 3001, "d.e": 5, "f": 9, "z": 1}
+    assert got["odds_home"].missing_rate == 0.25 and got["odds_home"].category == "market" and got["a"].missing_rate == 0
+    near = {r.column: r for r in feature_inventory(df, sketch=12).collect()}
+    assert all(abs(near[k].distinct_values - r.distinct_values) <= 0.05 * r.distinct_values for k, r in got.items())
+    assert near["odds_home"].missing_rate == 0.25
+    for mode in (None, 12):
+        empty = feature_inventory(df.limit(0), sketch=mode).collect()
+        assert len(empty) == 6 and all(r.missing_rate is None and r.distinct_values == 0 for r in empty)
+
+
+def test_quotes_leave_the_state_after_kickoff(spark, tmp_path):
+    import datetime as dt
+
+    from matchgrain.streaming.streams import latest_quotes, read_stream, run_to_table
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    names = "fixture_id long, market string, selection string, bookmaker string, observed_at timestamp, decimal_price double"
+    kickoffs = spark.createDataFrame([(1, day(5)), (2, day(20)), (3, None)], "fixture_id long, kickoff_utc timestamp")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def feed(*quotes):
+        rows = [(f, "1x2", "home", "b", t, p) for f, t, p in quotes]
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, spark.read.parquet(source).schema)
+        run_to_table(latest_quotes(stream, kickoffs), out, state, "update")
+        kept = spark.read.format("statestore").load(state).select("key.fixture_id").collect()
+        batches = spark.read.parquet(out)
+        latest = {r.fixture_id: r.decimal_price for r in batches.orderBy("batch").collect()}
+        return sorted(r.fixture_id for r in kept), latest
+
+    assert feed((1, day(1), 2.0), (1, day(2), 2.1), (2, day(2), 3.0), (3, day(2), 9.0), (1, None, 8.0)) == ([1, 2], {1: 2.1, 2: 3.0})
+    assert feed((1, day(4), 2.2), (1, day(6), 7.0), (2, day(10), 3.1)) == ([2], {1: 2.2, 2: 3.1})
+    assert feed((1, day(4, 5), 2.9), (2, day(9), 3.3)) == ([2], {1: 2.2, 2: 3.1})
+    assert feed((2, day(25), 4.0)) == ([], {1: 2.2, 2: 3.1})
