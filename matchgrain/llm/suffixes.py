@@ -10,8 +10,10 @@ number. The suffix array of that number sequence (`gsaca`) puts equal stretches
 same whole pieces inside both times, so the suffix at its first piece has a neighbour that agrees up to its last piece: windows
 without one are unique. The others are compared as 128-bit hashes of all their bytes, which confirms the repeats.
 
-An anchor with more than `busy` occurrences sends each of its strings alone, as the 128-bit hash of its bytes, and equal
-ones are counted before the shuffle; so what surrounds a very common passage is never one group.
+The strings of an anchor with more than `busy` occurrences have a longer anchor, of three quarters of the window, as
+their route, which is common only where more of their bytes are. Where a route still has more than `busy` different segments, the shard
+passes on each of their strings as the 128-bit hash of its bytes, and equal ones are counted by a grouping; so what surrounds
+a very common passage is never one group.
 Documents with equal texts are one text; if there are several, all strings of each repeat.
 """
 
@@ -90,8 +92,20 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int):
         yield pa.RecordBatch.from_arrays([key, batch.column(0).take(pa.array(row)), pa.array((place + shift).astype(np.int64))], ["anchor", "text_key", "at"])
 
 
+def _longer(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(route, first, last) of the segments by longer anchors that make up the runs of windows first..last."""
+    grams = byte_runs(data, 3 * window // 4)
+    _, place, begin, _ = anchor_runs(grams, offsets, window, 3 * window // 4)
+    n = last - first + 1
+    windows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    run = np.searchsorted(begin, windows, "right") - 1
+    head = np.flatnonzero(np.append(True, (windows[1:] != windows[:-1] + 1) | (run[1:] != run[:-1])))
+    tail = np.append(head[1:], len(windows)) - 1
+    return grams[place[run[head]]], windows[head], windows[tail]
+
+
 def _segments(batches: Iterator[pa.RecordBatch], window: int, content: bool):
-    """Segments of the marked anchors: with their bytes (null for a single string of a busy anchor), or where they begin."""
+    """Segments of the marked anchors: with their bytes, or where they begin."""
     for batch, rows, bases, parts in _pieces(batches, 1, window):
         data, grams, row, place, first, last, shift = _runs(rows, bases, parts, window)
         if not len(place):
@@ -99,28 +113,24 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, content: bool):
         wanted = sorted(set(rows))
         marked = {name: np.array([(i << 40) + at for i in wanted for at in (batch.column(c)[i].as_py() or ())], np.int64) for name, c in (("marks", 2), ("busy", 3))}
         own = (row << 40) + place + shift
-        whole, single = np.isin(own, marked["marks"]), np.isin(own, marked["busy"])
-        raw = data.tobytes()
-        begin, end = first[whole], last[whole] + window
-        parts_ = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-        routes = [grams[place[whole]]]
-        digests = [np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts_), np.uint64, len(parts_))]
-        starts, at = [begin + shift[whole]], [row[whole]]
-        if single.any():
-            n = last[single] - first[single] + 1
-            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[single], n)
-            routes.append(byte_runs(data, window)[places])
-            digests.append(byte_runs(data, window, 1)[places])
-            starts.append(places + np.repeat(shift[single], n)), at.append(np.repeat(row[single], n))
-            parts_ += [None] * len(places)
-        if not parts_:
+        whole, busy = np.isin(own, marked["marks"]), np.isin(own, marked["busy"])
+        route, begin, end = grams[place[whole]], first[whole], last[whole]
+        if busy.any():
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            longer = _longer(data, offsets, first[busy], last[busy], window)
+            route, begin, end = (np.concatenate(x) for x in zip((route, begin, end), longer))
+        if not len(route):
             continue
-        columns = [pa.array(np.concatenate(routes).view(np.int64)), pa.array(np.concatenate(digests).view(np.int64))]
+        raw = data.tobytes()
+        bytes_ = [raw[a : b + window] for a, b in zip(begin.tolist(), end.tolist())]
+        digest = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in bytes_), np.uint64, len(bytes_))
+        columns = [pa.array(route.view(np.int64)), pa.array(digest.view(np.int64))]
         if content:
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts_, pa.binary())], ["route", "digest", "bytes"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bytes_, pa.binary())], ["route", "digest", "bytes"])
         else:
-            key = batch.column(0).take(pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([*columns, key, pa.array(np.concatenate(starts))], ["route", "digest", "text_key", "first"])
+            run = np.searchsorted(first, begin, "right") - 1
+            key = batch.column(0).take(pa.array(row[run]))
+            yield pa.RecordBatch.from_arrays([*columns, key, pa.array(begin + shift[run])], ["route", "digest", "text_key", "first"])
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
@@ -185,23 +195,54 @@ def _as_ranges(starts: np.ndarray, window: int) -> list[int]:
     return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + window], 1).ravel().tolist()
 
 
-def _search(batches: Iterator[pa.RecordBatch], window: int):
+SEARCHED = pa.schema([(c, pa.int64()) for c in ("route", "digest")] + [("ranges", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in ("high", "low", "at", "n")])
+
+
+def _spread(rows: list[tuple], window: int) -> pa.RecordBatch:
+    """Each string of the segments by itself, as the hash of its bytes."""
+    sizes = np.array([len(r[2]) for r in rows], np.int64)
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    n = sizes - window + 1
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = at + np.repeat(np.cumsum(sizes) - sizes, n)
+    facts = [np.repeat(np.array([r[k] for r in rows], np.int64), n) for k in (0, 1, 3)]
+    hashes = [byte_runs(data, window, seed)[place].view(np.int64) for seed in (0, 1)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(facts[0]), pa.array(facts[1]), pa.nulls(len(at), pa.list_(pa.int64())), *map(pa.array, hashes), pa.array(at), pa.array(facts[2])], schema=SEARCHED
+    )
+
+
+def _search(batches: Iterator[pa.RecordBatch], window: int, busy: int):
+    """Rows (route, digest, bytes, n) in order of route: repeated ranges of each segment, or its strings where a route has more than `busy` rows."""
+
     def answer(rows: list[tuple]):
         found = repeated_windows([r[2] for r in rows], np.array([r[3] for r in rows]), window)
         out = [(r[0], r[1], _as_ranges(f, window)) for r, f in zip(rows, found) if len(f)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
-            ["route", "digest", "ranges"],
-        )
+        empty = pa.nulls(len(out), pa.int64())
+        columns = [pa.array([o[k] for o in out], SEARCHED.field(k).type) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, empty, empty, empty, empty], schema=SEARCHED)
 
-    rows, total = [], 0
+    rows, total, group, spread = [], 0, [], False
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if total >= SHARD and row[0] != rows[-1][0]:
-                yield answer(rows)
-                rows, total = [], 0
-            rows.append(row)
-            total += len(row[2])
+            if group and row[0] != group[-1][0]:
+                if spread:
+                    yield _spread(group, window)
+                else:
+                    rows += group
+                    total += sum(len(r[2]) for r in group)
+                group, spread = [], False
+                if total >= SHARD:
+                    yield answer(rows)
+                    rows, total = [], 0
+            group.append(row)
+            if len(group) > (max(busy, 1) if not spread else 1000):
+                yield _spread(group[:-1], window)  # the last one stays, to tell its route
+                group, spread = group[-1:], True
+    if spread:
+        yield _spread(group, window)
+    else:
+        rows += group
     if rows:
         yield answer(rows)
 
@@ -244,7 +285,8 @@ def remove_repeats(docs: DataFrame, window: int = 200, busy: int = 5000, full: b
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
     long_ = rows.where(F.octet_length("text") >= window)
     classes = long_.groupBy("text_key").agg((F.count("*") > 1).alias("several"), F.min("doc_id").alias("owner"))
-    places = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window), "anchor long, text_key long, at long")
+    # One shuffle of the places serves their grouping and their join.
+    places = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window), "anchor long, text_key long, at long").repartition("anchor")
     # Two places of one text may lie in pieces that no batch holds together, so they are told apart here.
     ends = [f(c).alias(f"{n}_{c}") for c in ("text_key", "at") for n, f in (("min", F.min), ("max", F.max))]
     shared = places.groupBy("anchor").agg(*ends, F.count("*").alias("n")).where("min_text_key <> max_text_key or min_at <> max_at")
@@ -258,16 +300,18 @@ def remove_repeats(docs: DataFrame, window: int = 200, busy: int = 5000, full: b
     marked = first.select("text_key", "text", "marks", "busy_marks")
     pieces = marked.mapInArrow(lambda b: _segments(b, window, True), "route long, digest long, bytes binary")
     distinct = pieces.groupBy("route", "digest").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
-    found = (
-        distinct.where("bytes is not null")
-        .repartition("route")
+    searched = cut_lineage(
+        distinct.repartition("route")
         .sortWithinPartitions("route")
-        .mapInArrow(lambda b: _search(b, window), "route long, digest long, ranges array<long>")
+        .mapInArrow(lambda b: _search(b, window, busy), "route long, digest long, ranges array<long>, high long, low long, at long, n long")
     )
-    alone = distinct.where("bytes is null and n > 1").select("route", "digest", F.array(F.lit(0).cast("long"), F.lit(window).cast("long")).alias("ranges"))
+    strings = searched.where("at is not null")
+    again = strings.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
+    alone = strings.join(again, ["high", "low"]).groupBy("route", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("ranges"))
+    found = searched.where("at is null").select("route", "digest", "ranges").union(alone)
     begun = marked.mapInArrow(lambda b: _segments(b, window, False), "route long, digest long, text_key long, first long")
     ranges = (
-        begun.join(found.union(alone), ["route", "digest"])
+        begun.join(found, ["route", "digest"])
         .select("text_key", F.transform("ranges", lambda x: x + F.col("first")).alias("ranges"))
         .groupBy("text_key")
         .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))

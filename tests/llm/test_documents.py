@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from matchgrain.llm import bpe, decontaminate, fmindex, lines, minhash, quality, resharding, suffixes, tokenfile
@@ -138,6 +139,36 @@ def test_repeats_in_pieces_of_one_long_text(spark):
         same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in got], [(0, 480, 2, left[0]), (1, 0, 0, left[1]), (2, 0, 0, left[2])])
 
 
+def test_repeats_around_a_common_passage(spark):
+    rng = random.Random(12)
+    passage = rng.randbytes(180).hex()
+    texts = [rng.randbytes(90).hex() + passage[:340] + rng.randbytes(90).hex() for _ in range(14)]
+    texts += [texts[k][:60] + "x" + texts[k][60:] for k in range(4)] + [passage + str(k) * 3 + passage[7:] for k in range(3)]
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    left = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = [True] * 200
+        left.append("".join(c for c, g in zip(t, gone) if not g))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for busy in (5000, 8, 2, 0):
+        same([(r.doc_id, bytes(r.kept).decode()) for r in suffixes.remove_repeats(docs, busy=busy).collect()], list(enumerate(left)))
+
+
+def test_search_spreads_a_route_of_many_segments():
+    rng = random.Random(13)
+    common = rng.randbytes(210)
+    segments = [common + rng.randbytes(20) for _ in range(1500)]
+    rows = [(5, k, s, 1) for k, s in enumerate(segments)] + [(7, 9, segments[0], 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["route", "digest", "bytes", "n"])
+    out = [r for part in suffixes._search(iter([batch]), 200, 10) for r in part.to_pylist()]
+    strings = Counter((r["high"], r["low"]) for r in out if r["at"] is not None)
+    assert sum(strings.values()) == 1500 * 31 and sorted(strings.values())[-11:] == [1500] * 11
+    assert [(r["route"], r["digest"], r["ranges"]) for r in out if r["at"] is None] == [(7, 9, [0, 230])]
+
+
 def test_earlier_passages(docs, rows, nothing):
     first = {}
     for r in rows:
