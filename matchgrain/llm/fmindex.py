@@ -101,16 +101,11 @@ def _grams(texts: pa.Array, window: int):
     return hashes, offsets, grams, anchor_runs(grams, offsets, window, GRAM)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, places: bool):
+def _anchors(batches: Iterator[pa.RecordBatch], window: int):
     for batch in bounded(batches, "text"):
-        _, offsets, grams, (text, place, _, _) = _grams(batch.column(2), window)
-        key = pa.array(grams[place].view(np.int64))
-        row = pa.array(text)
-        if places:
-            columns = [key, batch.column(0).take(row), batch.column(1).take(row), pa.array((place - offsets[:-1][text]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "text_key", "at"])
-        else:
-            yield pa.RecordBatch.from_arrays([key, batch.column(1).take(row)], ["anchor", "text_key"])
+        _, offsets, grams, (text, place, _, _) = _grams(batch.column(1), window)
+        columns = [pa.array(grams[place].view(np.int64)), batch.column(0).take(pa.array(text)), pa.array((place - offsets[:-1][text]).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["anchor", "text_key", "at"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, words: bool):
@@ -201,17 +196,18 @@ def remove_earlier_passages(docs: DataFrame, window: int = 13, busy: int = 5000,
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
     usable = rows.where("doc_id is not null and text is not null")
-    anchors = usable.mapInArrow(lambda b: _anchors(b, window, False), "anchor long, text_key long")
-    shared = anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n")).where("a <> b")
-    places = usable.mapInArrow(lambda b: _anchors(b, window, True), "anchor long, doc_id long, text_key long, at int")
+    # One shuffle of the places serves their grouping and their join; with both keys known as not null, no filter tells the two apart.
+    places = usable.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window), "anchor long, text_key long, at int")
+    places = places.where("anchor is not null and text_key is not null").repartition("anchor")
+    shared = places.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("at").alias("n")).where("a <> b")
     owners = usable.groupBy("text_key").agg(F.min("doc_id").alias("owner"))
     hits = (
         places.join(shared.select("anchor", (F.col("n") > busy).alias("busy")), "anchor")
-        .groupBy("doc_id", "text_key")
+        .groupBy("text_key")
         .agg(F.collect_set(F.when(~F.col("busy"), F.col("at"))).alias("marks"), F.collect_set(F.when(F.col("busy"), F.col("at"))).alias("busy_marks"))
     )
     known = usable.select("doc_id", "text_key").distinct().join(owners, "text_key").select("doc_id", "text_key", (F.col("doc_id") > F.col("owner")).alias("copy"))
-    facts = cut_lineage(known.join(hits, ["doc_id", "text_key"], "left"))
+    facts = cut_lineage(known.join(hits, "text_key", "left").select("doc_id", "text_key", "copy", "marks", "busy_marks"))
     marked = (
         usable.join(facts.where("not copy and (size(marks) > 0 or size(busy_marks) > 0)"), ["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "marks", "busy_marks")
