@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from matchgrain.functions.storage import shared_folder
 
@@ -19,3 +20,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of work that a checkpoint has replaced.
+
+    Spark removes them once the driver has collected the objects that name them, which may otherwise be half an hour
+    later. Nothing that is still in use is lost.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
