@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from matchgrain.functions.storage import cut_lineage
 from matchgrain.llm.anchors import anchor_runs, covered
-from matchgrain.llm.tables import release
 from matchgrain.llm.textcore import bounded, hashed_words, mix, run_hashes, words_of
 
 GRAM = 4
@@ -209,7 +208,6 @@ def remove_earlier_passages(docs: DataFrame, window: int = 13, busy: int = 5000,
     )
     known = usable.select("doc_id", "text_key").distinct().join(owners, "text_key").select("doc_id", "text_key", (F.col("doc_id") > F.col("owner")).alias("copy"))
     facts = cut_lineage(known.join(hits, "text_key", "left").select("doc_id", "text_key", "copy", "marks", "busy_marks"))
-    release(docs.sparkSession)
     marked = (
         usable.join(facts.where("not copy and (size(marks) > 0 or size(busy_marks) > 0)"), ["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "marks", "busy_marks")
