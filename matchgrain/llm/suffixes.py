@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, busy: int = 5000, full: b
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_key", "cast(text as string) text")
     long_ = rows.where(F.octet_length("text") >= window)
     classes = long_.groupBy("text_key").agg((F.count("*") > 1).alias("several"), F.min("doc_id").alias("owner"))
-    # One shuffle of the places serves their grouping and their join.
+    # Dealt by anchor once, so neither their grouping nor their join shuffles them again.
     places = long_.select("text_key", "text").mapInArrow(lambda b: _anchors(b, window), "anchor long, text_key long, at long").repartition("anchor")
     # Two places of one text may lie in pieces that no batch holds together, so they are told apart here.
     ends = [f(c).alias(f"{n}_{c}") for c in ("text_key", "at") for n, f in (("min", F.min), ("max", F.max))]
