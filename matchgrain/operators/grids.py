@@ -7,7 +7,7 @@ shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from math import lgamma
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +41,13 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _sum(terms: Sequence[Column]) -> Column:
+    total = F.lit(0.0)
+    for term in terms:
+        total = total + term
+    return total
+
+
 def _running(values: Column) -> Column:
     """Running totals of an array."""
     empty = F.array().cast("array<double>")
@@ -50,8 +57,8 @@ def _running(values: Column) -> Column:
 
 
 def _pmf_array(rate: Column, top: int) -> Column:
-    goals = F.sequence(F.lit(0), F.lit(top))
-    return F.transform(goals, lambda g: poisson_pmf(g, rate))
+    """Poisson weights of 0..top, spelled out so that they are compiled."""
+    return F.array(*[F.exp(F.lit(g) * F.ln(rate) - rate - F.lit(lgamma(g + 1.0))) for g in range(top + 1)])
 
 
 def _cells(df: DataFrame, keys: Sequence[str], home: Column, away: Column, carried: Sequence[str] = ()) -> DataFrame:
@@ -106,18 +113,24 @@ def poisson_grid(
 def fixed_poisson_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_rate", away_rate="away_rate", max_goals=10) -> DataFrame:
     """G1: grid of a fixed size (0..max_goals each side)."""
     base = spread(rates.select(*keys, F.col(home_rate).alias("_hr"), F.col(away_rate).alias("_ar")), keys)
-    cells = _cells(base, keys, _pmf_array(F.col("_hr"), max_goals), _pmf_array(F.col("_ar"), max_goals))
-    return cells.select(*keys, "home_goals", "away_goals", "p")
+    arrays = base.select(*keys, _pmf_array(F.col("_hr"), max_goals).alias("_h"), _pmf_array(F.col("_ar"), max_goals).alias("_a"))
+    return _cells(arrays, keys, F.col("_h"), F.col("_a")).select(*keys, "home_goals", "away_goals", "p")
+
+
+def with_mass(base: DataFrame, keys: Sequence[str], mass: Column) -> DataFrame:
+    """`_mass`, the mass of all cells of a fixture, before its rows become cells: few short rows are sorted, no cell is.
+
+    Rows of one key share their mass, as their cells are one grid.
+    """
+    return base.withColumn("_m", mass).withColumn("_mass", F.sum("_m").over(Window.partitionBy(*keys))).drop("_m")
 
 
 def with_tail(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the missing mass of each fixture; a total above one is scaled to one."""
-    mass = F.sum("p").over(Window.partitionBy(*keys))
-    return (
-        cells.withColumn("_mass", mass)
-        .withColumn("p", F.col("p") / F.greatest(F.lit(1.0), F.col("_mass")))
-        .withColumn("tail", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_mass")))
-        .drop("_mass")
+    """Turn `_mass` into the missing mass of each fixture; a total above one is scaled to one."""
+    return cells.select(
+        *keys, "home_goals", "away_goals",
+        (F.col("p") / F.greatest(F.lit(1.0), F.col("_mass"))).alias("p"),
+        F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_mass")).alias("tail"),
     )
 
 
@@ -138,14 +151,16 @@ def dixon_coles_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_
     base = rates.select(
         *keys, F.col(home_rate).alias("_hr"), F.col(away_rate).alias("_ar"), F.col(rho).alias("_rho")
     )
-    base = spread(base, keys)
-    cells = _cells(
-        base, keys, _pmf_array(F.col("_hr"), max_goals), _pmf_array(F.col("_ar"), max_goals), ["_hr", "_ar", "_rho"]
-    )
+    h, a = ([poisson_pmf(F.lit(g), F.col(rate)) for g in range(max_goals + 1)] for rate in ("_hr", "_ar"))
+    low = [(i, j) for i in range(min(max_goals, 1) + 1) for j in range(min(max_goals, 1) + 1)]
+    moved = _sum([h[i] * a[j] * (dc_tau(F.lit(i), F.lit(j), "_hr", "_ar", "_rho") - 1.0) for i, j in low])
+    base = with_mass(spread(base, keys), keys, _sum(h) * _sum(a) + moved)
+    scalars = ["_hr", "_ar", "_rho", "_mass"]
+    arrays = base.select(*keys, *scalars, F.array(*h).alias("_h"), F.array(*a).alias("_a"))
+    cells = _cells(arrays, keys, F.col("_h"), F.col("_a"), scalars)
     cells = cells.withColumn("_tau", dc_tau("home_goals", "away_goals", "_hr", "_ar", "_rho"))
     cells = guard(cells, F.col("_tau") > 0, "low-score correction generated non-positive mass")
-    cells = cells.select(*keys, "home_goals", "away_goals", (F.col("p") * F.col("_tau")).alias("p"))
-    return with_tail(cells, keys)
+    return with_tail(cells.withColumn("p", F.col("p") * F.col("_tau")), keys)
 
 
 def bivariate_poisson_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_rate", away_rate="away_rate", shared_rate="shared_rate", max_goals=14) -> DataFrame:
@@ -157,20 +172,22 @@ def bivariate_poisson_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate=
         F.col(shared_rate).cast("double").alias("_3"),
     )
     base = guard(base, (F.least("_1", "_2") > 0) & (F.col("_3") >= 0), "shared rate must be below both means")
-    base = spread(base, keys)
-    goals = F.sequence(F.lit(0), F.lit(max_goals))
-    # Poisson weights of the three components, once per fixture.
-    base = base.select(*keys, *[_pmf_array(F.col(f"_{i}"), max_goals).alias(f"_p{i}") for i in (1, 2)],
-                       F.when(F.col("_3") > 0, _pmf_array(F.col("_3"), max_goals)).otherwise(
-                           F.transform(goals, lambda g: (g == 0).cast("double"))).alias("_p3"))
-    cells = base.select("*", F.explode(goals).alias("home_goals")).select("*", F.explode(goals).alias("away_goals"))
-
-    def term(s: Column) -> Column:
-        return F.get("_p1", F.col("home_goals") - s) * F.get("_p2", F.col("away_goals") - s) * F.get("_p3", s)
-
-    shared = F.sequence(F.lit(0), F.least("home_goals", "away_goals"))
-    p = F.aggregate(shared, F.lit(0.0), lambda acc, s: acc + term(s))
-    return with_tail(cells.select(*keys, "home_goals", "away_goals", p.alias("p")), keys)
+    def weights(i: int) -> list[Column]:
+        made = [poisson_pmf(F.lit(g), F.col(f"_{i}")) for g in range(max_goals + 1)]
+        return made if i < 3 else [F.when(F.col("_3") > 0, w).otherwise(float(g == 0)) for g, w in enumerate(made)]
+
+    # A shared count of s leaves 0..max_goals - s to either side, so the mass is a sum of products of running totals.
+    below = spread(base, keys).select("*", *[_running(F.array(*weights(i))).alias(f"_c{i}") for i in (1, 2)])
+    mass = _sum([w * F.get("_c1", F.lit(max_goals - s)) * F.get("_c2", F.lit(max_goals - s)) for s, w in enumerate(weights(3))])
+    base = with_mass(below, keys, mass).select(*keys, "_mass", *[F.array(*weights(i)).alias(f"_p{i}") for i in (1, 2, 3)])
+    goals = F.array(*[F.lit(g) for g in range(max_goals + 1)])
+    rows = base.select(*keys, "_mass", "_p1", "_p2", "_p3", F.explode(goals).alias("home_goals"))
+    # What a home score of h takes from each shared count, once for the cells of its row.
+    taken = F.array(*[F.when(F.col("home_goals") >= s, F.get("_p1", F.col("home_goals") - s) * F.get("_p3", F.lit(s))).otherwise(0.0) for s in range(max_goals + 1)])
+    rows = rows.select(*keys, "_mass", "home_goals", taken.alias("_t"), "_p2")
+    cells = rows.select(*keys, "_mass", "home_goals", "_t", "_p2", F.explode(goals).alias("away_goals"))
+    p = _sum([F.when(F.col("away_goals") >= s, F.get("_t", F.lit(s)) * F.get("_p2", F.col("away_goals") - s)).otherwise(0.0) for s in range(max_goals + 1)])
+    return with_tail(cells.withColumn("p", p), keys)
 
 
 def diagonal_inflated_grid(grid: DataFrame, inflation: float, keys=("fixture_id",)) -> DataFrame:
@@ -195,16 +212,24 @@ def negative_binomial_pmf(goals: Column, mean: Column, size: Column) -> Column:
     return F.exp(rising - _ln_factorial(goals) + size * F.ln(q) + goals * F.ln(1 - q))
 
 
+def _negative_binomial_pmfs(mean: str, size: str, rising: str, top: int) -> list[Column]:
+    """`negative_binomial_pmf` of 0..top; `rising` holds the running totals of ln(size + i)."""
+    q = F.col(size) / (F.col(size) + F.col(mean))
+    first = [F.lit(0.0), *[F.get(rising, F.lit(g)) for g in range(top)]]
+    return [F.exp(r - F.lit(lgamma(g + 1.0)) + F.col(size) * F.ln(q) + F.lit(g) * F.ln(1 - q)) for g, r in enumerate(first)]
+
+
 def negative_binomial_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_rate", away_rate="away_rate", dispersion="dispersion", max_goals=20) -> DataFrame:
     """G5."""
     base = rates.select(
         *keys, F.col(home_rate).alias("_hr"), F.col(away_rate).alias("_ar"), F.col(dispersion).cast("double").alias("_d")
     )
     base = spread(guard(base, F.least("_hr", "_ar", "_d") > 0, "invalid negative-binomial parameters"), keys)
-    goals = F.sequence(F.lit(0), F.lit(max_goals))
-    pmf = lambda rate: F.transform(goals, lambda g: negative_binomial_pmf(g, F.col(rate), F.col("_d")))
-    cells = _cells(base, keys, pmf("_hr"), pmf("_ar")).select(*keys, "home_goals", "away_goals", "p")
-    return with_tail(cells, keys)
+    rising = _running(F.array(*[F.ln(F.col("_d") + g) for g in range(max_goals)]).cast("array<double>")).alias("_rise")
+    h, a = (_negative_binomial_pmfs(rate, "_d", "_rise", max_goals) for rate in ("_hr", "_ar"))
+    weighed = with_mass(base.select("*", rising), keys, _sum(h) * _sum(a)).drop("_rise").select("*", rising)
+    arrays = weighed.select(*keys, "_mass", F.array(*h).alias("_h"), F.array(*a).alias("_a"))
+    return with_tail(_cells(arrays, keys, F.col("_h"), F.col("_a"), ["_mass"]), keys)
 
 
 def com_poisson_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_rate", away_rate="away_rate", dispersion="dispersion", max_goals=20) -> DataFrame:
