@@ -389,7 +389,8 @@ def scoreline_ignorance(grid: DataFrame, observed: DataFrame, keys: Sequence[str
     """-ln of the observed cell, or of the tail when the score is off the grid."""
     seen = observed.select(*keys, F.col("home_goals").alias("_h"), F.col("away_goals").alias("_a")).where("_h IS NOT NULL")
     hit = (F.col("home_goals") == F.col("_h")) & (F.col("away_goals") == F.col("_a"))
-    s = grid.join(seen, list(keys)).groupBy(*keys).agg(
+    # The observed scores are the build side of a hash join: cells are not sorted.
+    s = grid.join(seen.hint("shuffle_hash"), list(keys)).groupBy(*keys).agg(
         F.max(F.when(hit, F.col("p"))).alias("_p"), F.max("tail").alias("_t")
     )
     p = F.greatest(F.coalesce("_p", "_t"), F.lit(floor))
