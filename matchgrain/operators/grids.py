@@ -451,8 +451,19 @@ def handicap_net_return(home, away, handicap, price) -> Column:
 def expected_over_net_return(grid: DataFrame, lines: DataFrame, keys: Sequence[str] = ("fixture_id",), *, max_tail: float = 1e-8) -> DataFrame:
     """Sum of mass x settlement; `lines` holds (keys, line, price)."""
     checked = guard(grid, F.col("tail") <= max_tail, "grid tail is too large for point expected return")
-    joined = checked.join(lines, list(keys))
-    value = over_net_return(F.col("home_goals") + F.col("away_goals"), "line", "price").cast("double")
+    # A line settles in nine ways, two halves won, void or lost: a cell only looks its way up. Cells are not sorted.
+    x = F.col("line").cast(MONEY)
+    on_step = x * 4 == F.round(x * 4, 0)
+    halves = split_quarter_line(F.when(on_step, F.col("line")).otherwise(F.lit(0)))
+    profit = F.col("price").cast(MONEY) - F.lit(1).cast(MONEY)
+    legs = [F.lit(-1).cast(MONEY), F.lit(0).cast(MONEY), profit]
+    ways = F.array(*[((first + second) / F.lit(2)).cast("decimal(12,5)").cast("double") for first in legs for second in legs])
+    settled = lines.select(*keys, "line", "price", on_step.alias("_ok"), *[halves[i].cast("double").alias(f"_l{i}") for i in (0, 1)], ways.alias("_ways"))
+    joined = checked.join(settled.hint("shuffle_hash"), list(keys))
+    total = F.col("home_goals") + F.col("away_goals")
+    leg = lambda i: F.when(total > F.col(f"_l{i}"), 2).when(total == F.col(f"_l{i}"), 1).otherwise(0)
+    odd = F.raise_error(F.lit("line must be on a quarter-goal increment")).cast("double")
+    value = F.when(F.col("_ok"), F.get("_ways", leg(0) * 3 + leg(1))).otherwise(odd)
     return joined.groupBy(*keys, "line", "price").agg(F.sum(F.col("p") * value).alias("expected_net_return"))
 
 
