@@ -251,17 +251,12 @@ def com_poisson_grid(rates: DataFrame, keys=("fixture_id",), *, home_rate="home_
         *keys, F.col(home_rate).alias("_hr"), F.col(away_rate).alias("_ar"), F.col(dispersion).cast("double").alias("_d")
     )
     base = spread(guard(base, F.least("_hr", "_ar", "_d") > 0, "rates and dispersion must be positive"), keys)
-    goals = F.sequence(F.lit(0), F.lit(max_goals))
-
-    def logs(rate: str) -> Column:
-        return F.transform(goals, lambda g: g * F.ln(F.col(rate)) - F.col("_d") * _ln_factorial(g))
-
-    base = base.withColumn("_lh", logs("_hr")).withColumn("_la", logs("_ar"))
-    base = base.withColumn("_mh", F.array_max("_lh")).withColumn("_ma", F.array_max("_la"))
-    base = base.withColumn("_wh", F.transform("_lh", lambda x: F.exp(x - F.col("_mh"))))
-    base = base.withColumn("_wa", F.transform("_la", lambda x: F.exp(x - F.col("_ma"))))
-    base = base.withColumn("_th", _total(F.col("_wh"))).withColumn("_ta", _total(F.col("_wa")))
-    base = base.select(*keys, "_wh", "_wa", (F.col("_th") * F.col("_ta")).alias("_t"))
+    logs = lambda rate: [F.lit(g) * F.ln(F.col(rate)) - F.col("_d") * F.lit(lgamma(g + 1.0)) for g in range(max_goals + 1)]
+    base = base.select(*keys, F.array(*logs("_hr")).alias("_lh"), F.array(*logs("_ar")).alias("_la"))
+    # The largest logarithm is bound once for a fixture, not taken for every goal.
+    weights = lambda logs: F.get(F.transform(F.array(F.array_max(logs)), lambda m: F.transform(logs, lambda x: F.exp(x - m))), F.lit(0))
+    base = base.select(*keys, weights("_lh").alias("_wh"), weights("_la").alias("_wa"))
+    base = base.select(*keys, "_wh", "_wa", (_total(F.col("_wh")) * _total(F.col("_wa"))).alias("_t"))
     cells = _cells(base, keys, F.col("_wh"), F.col("_wa"), ["_t"])
     return cells.select(
         *keys, "home_goals", "away_goals", (F.col("p") / F.col("_t")).alias("p"), F.lit(0.0).alias("tail")
