@@ -32,6 +32,11 @@ def time_bucket(ts, width: int = HOUR) -> Column:
     return F.floor(seconds(ts) / F.lit(width)).cast("bigint")
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows by `columns` in a fixed number of parts, for a step whose memory grows past what was shuffled; small parts are not merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _order_struct(order: Sequence[Column]) -> Column:
     return F.struct(*order)
 

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrain.operators.ordered import dealt
 from matchgrain.operators.ranks import exact_quantiles
 
 
 def position_probabilities(standings: DataFrame, draws: int, *, keys: Sequence[str] = ("edition_id",)) -> DataFrame:
-    """P(position) per team; mean points repeat on each row."""
-    per = standings.groupBy(*keys, "team_id", "position").agg((F.count(F.lit(1)) / F.lit(float(draws))).alias("probability"))
-    mean = standings.groupBy(*keys, "team_id").agg(F.avg("points").alias("mean_points"))
-    return per.join(mean, [*keys, "team_id"])
+    """P(position) per team; mean points repeat on each row. Rows without a key or team are left out.
+
+    Rows go to their team once; positions are counted and their points added up there.
+    """
+    team = [*keys, "team_id"]
+    placed = dealt(standings.select(*team, "position", "points").dropna(subset=team), *team)
+    per = placed.groupBy(*team, "position").agg(
+        (F.count(F.lit(1)) / F.lit(float(draws))).alias("probability"), F.sum("points").alias("_s"), F.count("points").alias("_n")
+    )
+    whole = Window.partitionBy(*team)
+    mean = F.try_divide(F.sum("_s").over(whole), F.sum("_n").over(whole))
+    return per.select(*team, "position", "probability", mean.alias("mean_points"))
 
 
 def outcome_probabilities(positions: DataFrame, labels: DataFrame, *, keys: Sequence[str] = ("edition_id",)) -> DataFrame:
     """P(label) per team; labels: label, first_position, last_position."""
     expanded = labels.select("label", F.explode(F.sequence("first_position", "last_position")).alias("position"))
-    return positions.join(expanded, "position").groupBy(*keys, "team_id", "label").agg(F.sum("probability").alias("probability"))
+    ends = [expanded.agg(f("position")).scalar() for f in (F.min, F.max)]  # positions without a label go before they are counted
+    return positions.where(F.col("position").between(*ends)).join(expanded, "position").groupBy(*keys, "team_id", "label").agg(F.sum("probability").alias("probability"))
 
 
 def validate_positions(positions: DataFrame, *, keys: Sequence[str] = ("edition_id",), tolerance: float = 1e-8) -> DataFrame:

@@ -94,9 +94,9 @@ def hash_table(b):
 def _plain(b):
     from matchgrain.operators.ledger import league_table
 
-    m = b.matches.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    m = m.withColumn("home_goals", F.coalesce("home_goals", (F.col("fixture_id") * 7 + F.col("draw_id") * 3) % 5)).withColumn("away_goals", F.coalesce("away_goals", (F.col("fixture_id") * 5 + F.col("draw_id")) % 4))
-    return league_table(m, keys=["edition_id", "draw_id"])
+    goals = F.coalesce("home_goals", (F.col("fixture_id") * 7 + F.col("draw_id") * 3) % 5), F.coalesce("away_goals", (F.col("fixture_id") * 5 + F.col("draw_id")) % 4)
+    table = league_table(b.matches, keys=["edition_id", "draw_id"], draws=("draw_id", F.sequence(F.lit(0), F.lit(9))), goals=goals)
+    return table.select("edition_id", "draw_id", "team_id", "points", "position")
 
 
 PLAIN = """g AS (SELECT edition_id, d AS draw_id, home_team_id, away_team_id, coalesce(home_goals, (fixture_id * 7 + d * 3) % 5) AS h, coalesce(away_goals, (fixture_id * 5 + d) % 4) AS a FROM matches CROSS JOIN range(10) t(d)),

@@ -86,3 +86,36 @@ def test_stored_tables_are_not_dealt_out_anew(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrame, "repartition", refuse)
     monkeypatch.setattr(type(spark.range(1)), "repartition", refuse)
     assert storage.stored_once(spark, f"{tmp_path}|t", lambda: spark.range(7)).count() == 7
+
+
+def test_draws_do_not_multiply_what_is_shuffled(spark):
+    from matchgrain.operators.ledger import league_table
+
+    matches = spark.createDataFrame(
+        [("e", 1, 1, 2, 1, 0), ("e", 2, 2, 3, None, None), ("e", 3, 3, 1, 2, 2), (None, 4, 4, 5, None, 1), ("f", 5, None, 2, 0, 3), ("f", 5, None, 2, 0, 3)],
+        "edition_id string, fixture_id long, home_team_id long, away_team_id long, home_goals long, away_goals long",
+    )
+    values = F.sequence(F.lit(0), F.lit(2))
+    goals = F.coalesce("home_goals", (F.col("fixture_id") + F.col("draw_id")) % 3), F.coalesce("away_goals", F.when(F.col("draw_id") < 2, F.col("draw_id")))
+    keys = ["edition_id", "draw_id"]
+    got = league_table(matches, keys=keys, draws=("draw_id", values), goals=goals)
+    want = league_table(matches.withColumn("draw_id", F.explode(values)).withColumns({"home_goals": goals[0], "away_goals": goals[1]}), keys=keys)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 10
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("RepartitionByExpression" in part for part in text.split("Generate explode([0,1,2])")[1:])
+
+
+def test_position_probabilities_shuffle_rows_once(spark):
+    from matchgrain.operators import projections as P
+
+    rows = [("e", d, t, float(10 * t + d), 1 + (t + d) % 3) for d in range(4) for t in range(3)] + [(None, 0, 1, 5.0, 1), ("e", 0, None, 5.0, 1), ("f", 0, 7, None, 1)]
+    standings = spark.createDataFrame(rows, "edition_id string, draw_id long, team_id long, points double, position long")
+    got = P.position_probabilities(standings, 4)
+    found = {(r.edition_id, r.team_id, r.position): (r.probability, r.mean_points) for r in got.collect()}
+    assert found[("e", 0, 1)] == (0.5, 1.5) and found[("e", 2, 2)] == (0.25, 21.5) and found[("f", 7, 1)] == (0.25, None) and len(found) == 10
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1 and "Join" not in text
+    labels = spark.createDataFrame([("title", 1, 1), ("rest", 2, 1)], "label string, first_position long, last_position long")
+    text = P.outcome_probabilities(got, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "position" in text[text.rindex("Aggregate [edition_id"):] and "scalar-subquery" in text[text.rindex("RepartitionByExpression"):]
+    assert {(r.team_id, r.label): r.probability for r in P.outcome_probabilities(got, labels).where("edition_id = 'e'").collect()}[(1, "rest")] == 0.75
