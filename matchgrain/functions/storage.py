@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,24 @@ def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -
         build().write.mode("overwrite").parquet(path)
         _STORED[slot] = path
     return spark.read.parquet(_STORED[slot])
+
+
+@contextmanager
+def kept_dealt(df: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
+    """`df` as a table bucketed by `keys`, for an iteration that reads it in every step.
+
+    Within, a join or grouping by these and more keys finds its rows where they are, and a table dealt by `keys` in
+    `spark.sql.shuffle.partitions` parts joins it without a shuffle. Results must be checkpointed before the end.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, setting = f"dealt_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{name}"
+    before = spark.conf.get(setting)
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(name)
+    spark.conf.set(setting, "false")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.conf.set(setting, before)
+        spark.sql(f"drop table {name}")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.functions.contracts import days_between, guard
-from matchgrain.functions.storage import cut_lineage
+from matchgrain.functions.storage import cut_lineage, kept_dealt
 from matchgrain.operators.grids import dc_tau
+from matchgrain.operators.ordered import dealt
 
 # A rating system is (start value, update, regress). `update` returns the two new ratings;
 # `extra` is a per-team dict that a system may use for deviations.
@@ -107,14 +108,15 @@ def rating_rows(history: DataFrame) -> DataFrame:
     return history.select("fixture_id", "league_id", F.col("kickoff_utc").alias("observed_at"), F.inline(F.array(side("home"), side("away"))))
 
 
-def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half_life_days: float = 365.0, prior_matches: float = 4.0, tolerance: float = 1e-6, most_iterations: int = 100, least_matches: int = 2) -> DataFrame:
+def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half_life_days: float = 365.0, prior_matches: float = 4.0, tolerance: float = 1e-6, most_iterations: int = 100, least_matches: int = 2, blocks: int = 64) -> DataFrame:
     """Time-decayed attack and defence factors per team and league, by alternating updates.
 
     Goals are Poisson with rate base x home effect x attack x opponent's defence. With the
     other side fixed each factor has a closed form (weighted goals over weighted expectation,
-    with a prior of `prior_matches` average matches), so an iteration is one join and one
-    aggregation over all leagues at once, for any number of teams. Teams with little history
-    stay near 1, the league mean. Only matches strictly before `as_of` count; without it, before the last kickoff.
+    with a prior of `prior_matches` average matches), so an iteration is two joins and two
+    aggregations over all leagues at once, for any number of teams. The pairings stay where they are: they are stored once by
+    league and block of teams (a league has a share of `blocks` by its matches, one at least), and in a step only the factors of the teams go to the blocks
+    of their league. Teams with little history stay near 1, the league mean. Only matches strictly before `as_of` count; without it, before the last kickoff.
     Defence is updated with the attack of the same step, until no factor moves by more than `tolerance`: a step is written to reliable
     storage and sends one number to the driver. `residual` is the largest move of the last step. A fit that does not settle, and a
     history of fewer than `least_matches` matches, are errors.
@@ -122,43 +124,58 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
     done = matches.where(F.col("home_goals").isNotNull())
     at = done.agg(F.max("kickoff_utc")).scalar() if as_of is None else as_of
     past = done.where(F.col("kickoff_utc") < at)
-    w = F.pow(F.lit(2.0), -days_between(at, F.col("kickoff_utc")) / half_life_days)
-    side = lambda me, other: F.struct(
-        F.col(f"{me}_team_id").alias("team_id"), F.col(f"{other}_team_id").alias("opponent_id"), F.col(f"{me}_goals").cast("double").alias("gf"),
-        F.col(f"{other}_goals").cast("double").alias("ga"), F.lit(1.0 if me == "home" else 0.0).alias("home"),
+    if (n := past.count()) < least_matches:
+        raise ValueError(f"{n} earlier results are too few, {least_matches} are needed")
+    weighed = past.select(
+        "league_id", "home_team_id", "away_team_id", F.col("home_goals").cast("double").alias("hg"), F.col("away_goals").cast("double").alias("ag"),
+        F.pow(F.lit(2.0), -days_between(at, F.col("kickoff_utc")) / half_life_days).alias("w"),
     )
-    long = cut_lineage(past.select("league_id", w.alias("w"), F.inline(F.array(side("home", "away"), side("away", "home")))))
-    league = long.groupBy("league_id").agg(
-        (F.sum(F.col("w") * F.col("gf") * (1 - F.col("home"))) / F.sum(F.col("w") * (1 - F.col("home")))).alias("base"),
-        (F.sum(F.col("w") * F.col("gf") * F.col("home")) / F.greatest(F.sum(F.col("w") * F.col("gf") * (1 - F.col("home"))), F.lit(1e-9))).alias("home_effect"),
+    away = F.sum(F.col("w") * F.col("ag"))
+    league = cut_lineage(weighed.groupBy("league_id").agg(
+        (away / F.sum("w")).alias("base"), (F.sum(F.col("w") * F.col("hg")) / F.greatest(away, F.lit(1e-9))).alias("home_effect"),
+        F.ceil(F.count(F.lit(1)) * float(blocks) / F.lit(n)).cast("int").alias("_blocks"),
+    ))
+    # Matches of two teams share their factors: collapse them once, before the iterations; one row of sums gives the pairings of both teams.
+    turned = F.col("home_team_id") > F.col("away_team_id")
+    of_both = weighed.where("home_team_id is not null and away_team_id is not null").select(
+        "league_id", F.least("home_team_id", "away_team_id").alias("_t0"), F.greatest("home_team_id", "away_team_id").alias("_t1"),
+        F.when(turned, F.col("ag")).otherwise(F.col("hg")).alias("_g0"), F.when(turned, F.col("hg")).otherwise(F.col("ag")).alias("_g1"), "w", turned.alias("_turned"),
+    ).groupBy("league_id", "_t0", "_t1").agg(
+        *[F.sum(F.col("w") * F.col(f"_g{i}")).alias(f"_g{i}") for i in (0, 1)],
+        *[F.sum(F.when(F.col("_turned") == bool(i), F.col("w")).otherwise(0.0)).alias(f"_w{i}") for i in (0, 1)],
     )
-    # A pairing's rows share both factors: collapse them once, before the iterations.
-    pairs = cut_lineage(
-        long.join(league, "league_id").groupBy("league_id", "team_id", "opponent_id").agg(
-            F.sum(F.col("w") * F.col("gf")).alias("gf"), F.sum(F.col("w") * F.col("ga")).alias("ga"),
-            F.sum(F.col("w") * F.col("base") * F.when(F.col("home") == 1, F.col("home_effect")).otherwise(1.0)).alias("ef"),
-            F.sum(F.col("w") * F.col("base") * F.when(F.col("home") == 1, 1.0).otherwise(F.col("home_effect"))).alias("ea"),
-        )
+    side = lambda me, other: F.struct(
+        F.col(f"_t{me}").alias("team_id"), F.col(f"_t{other}").alias("opponent_id"), F.col(f"_g{me}").alias("gf"), F.col(f"_g{other}").alias("ga"),
+        (F.col("base") * (F.col(f"_w{me}") * F.col("home_effect") + F.col(f"_w{other}"))).alias("ef"),
+        (F.col("base") * (F.col(f"_w{me}") + F.col(f"_w{other}") * F.col("home_effect"))).alias("ea"),
     )
-    teams = pairs.select("league_id", "team_id").distinct().withColumns({"attack": F.lit(1.0), "defense": F.lit(1.0)})
-    if (n := past.count()) < least_matches:
-        raise ValueError(f"{n} earlier results are too few, {least_matches} are needed")
+    pairs = of_both.join(league, "league_id").select("league_id", "_blocks", F.inline(F.array(side(0, 1), side(1, 0))))
+    place, own = ["league_id", "_block"], ["league_id", "_block", "_blocks", "team_id"]
+    pairs = pairs.withColumn("_block", F.pmod(F.xxhash64("team_id"), F.col("_blocks")).cast("int"))
     k = F.lit(float(prior_matches))
-    opponents = lambda f, c: f.select("league_id", F.col("team_id").alias("opponent_id"), c)
-    for _ in range(most_iterations):
-        attack = pairs.join(opponents(teams, "defense"), ["league_id", "opponent_id"]).groupBy("league_id", "team_id").agg(
-            ((F.sum("gf") + k) / (F.sum(F.col("ef") * F.col("defense")) + k)).alias("attack")
-        )
-        defense = pairs.join(opponents(attack, "attack"), ["league_id", "opponent_id"]).groupBy("league_id", "team_id").agg(
-            ((F.sum("ga") + k) / (F.sum(F.col("ea") * F.col("attack")) + k)).alias("defense")
-        )
-        before = teams.select("league_id", "team_id", F.col("attack").alias("_a"), F.col("defense").alias("_d"))
-        moved = F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defense") - F.col("_d")))
-        step = cut_lineage(attack.join(defense, ["league_id", "team_id"]).join(before, ["league_id", "team_id"]).withColumn("_m", moved).drop("_a", "_d"))
-        residual = step.agg(F.max("_m")).first()[0]
-        teams = step.drop("_m")
-        if residual <= tolerance:
-            return teams.join(league, "league_id").withColumn("residual", F.lit(residual))
+
+    def opponents(f: DataFrame, c: str) -> DataFrame:
+        """The factors of all teams at every block of their league."""
+        return dealt(f.select("league_id", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("team_id").alias("opponent_id"), c), *place)
+
+    teams = None
+    with kept_dealt(pairs, place) as pairs:
+        for _ in range(most_iterations):
+            met = pairs.withColumn("defense", F.lit(1.0)) if teams is None else pairs.join(opponents(teams, "defense"), [*place, "opponent_id"])
+            attack = met.groupBy(*own).agg(((F.sum("gf") + k) / (F.sum(F.col("ef") * F.col("defense")) + k)).alias("attack"))
+            sent = opponents(attack, "attack")
+            defense = pairs.join(sent, [*place, "opponent_id"]).groupBy(*own).agg(((F.sum("ga") + k) / (F.sum(F.col("ea") * F.col("attack")) + k)).alias("defense"))
+            step = defense.join(sent.withColumnRenamed("opponent_id", "team_id"), [*place, "team_id"])
+            before = [F.lit(1.0)] * 2
+            if teams is not None:
+                step = step.join(teams.select(*place, "team_id", F.col("attack").alias("_a"), F.col("defense").alias("_d")), [*place, "team_id"])
+                before = [F.col("_a"), F.col("_d")]
+            moved = F.greatest(F.abs(F.col("attack") - before[0]), F.abs(F.col("defense") - before[1]))
+            step = cut_lineage(step.select(*own, "attack", "defense", moved.alias("_m")))
+            residual = step.agg(F.max("_m")).first()[0]
+            teams = step.drop("_m")
+            if residual <= tolerance:
+                return teams.drop("_block", "_blocks").join(league.drop("_blocks"), "league_id").withColumn("residual", F.lit(residual))
     raise RuntimeError(f"goal strengths still move by {residual:g} after {most_iterations} steps")
 
 

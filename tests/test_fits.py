@@ -44,6 +44,29 @@ def test_goal_strengths_settle(spark):
         ratings.team_goal_strengths(df.limit(1))
 
 
+def test_pairings_stay_where_they_are(spark, monkeypatch):
+    plans, cut = [], ratings.cut_lineage
+    monkeypatch.setattr(ratings, "cut_lineage", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()) if "_m" in d.columns else None) or cut(d))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many teams
+    try:
+        df = matches(spark).unionByName(matches(spark, 40, 5).withColumns({"league_id": F.lit(2).cast("long"), "fixture_id": F.col("fixture_id") + 1000}))
+        ratings.team_goal_strengths(df, half_life_days=1e9, tolerance=0.01)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert len(plans) > 1
+    for plan in plans:
+        lines = plan.splitlines()
+        scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line]
+        assert scans
+        for i in scans:  # between the pairings and their join or grouping nothing is shuffled
+            while "SortMergeJoin" not in lines[i] and "HashAggregate" not in lines[i]:
+                assert "Exchange" not in lines[i]
+                i -= 1
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before[1]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
 def test_covariate_fit_keeps_to_the_cutoff(spark):
     df = matches(spark).withColumns({"home_rank": F.col("home_team_id").cast("double"), "away_rank": F.col("away_team_id").cast("double")})
     at = F.timestamp_seconds(F.lit(100 * 86400))
