@@ -41,6 +41,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back: for steps of a long iteration, as a checkpoint keeps facts of the plan before it, which pile up."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/step_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Parquet table in the shared folder, built at first use in this application.
 
@@ -57,14 +65,13 @@ def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -
 
 
 @contextmanager
-def kept_dealt(df: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
-    """`df` as a table bucketed by `keys`, for an iteration that reads it in every step.
+def kept_dealt(df: DataFrame, keys: Sequence[str], parts: int) -> Iterator[DataFrame]:
+    """`df` as a table bucketed by `keys` in a number of parts, for an iteration that reads it in every step.
 
     Within, a join or grouping by these and more keys finds its rows where they are, and a table dealt by `keys` in
-    `spark.sql.shuffle.partitions` parts joins it without a shuffle. Results must be checkpointed before the end.
+    as many parts joins it without a shuffle. Results must be checkpointed before the end.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, setting = f"dealt_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
     path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{name}"
     before = spark.conf.get(setting)

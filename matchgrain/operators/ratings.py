@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchgrain.functions.contracts import days_between, guard
-from matchgrain.functions.storage import cut_lineage, kept_dealt
+from matchgrain.functions.storage import cut_lineage, kept_dealt, rewritten
 from matchgrain.operators.grids import dc_tau
-from matchgrain.operators.ordered import dealt
 
 # A rating system is (start value, update, regress). `update` returns the two new ratings;
 # `extra` is a per-team dict that a system may use for deviations.
@@ -108,6 +107,10 @@ def rating_rows(history: DataFrame) -> DataFrame:
     return history.select("fixture_id", "league_id", F.col("kickoff_utc").alias("observed_at"), F.inline(F.array(side("home"), side("away"))))
 
 
+#: Matches a part of R4's pairings holds before there is a second one.
+PART_MATCHES = 50_000
+
+
 def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half_life_days: float = 365.0, prior_matches: float = 4.0, tolerance: float = 1e-6, most_iterations: int = 100, least_matches: int = 2, blocks: int = 64) -> DataFrame:
     """Time-decayed attack and defence factors per team and league, by alternating updates.
 
@@ -153,13 +156,14 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
     place, own = ["league_id", "_block"], ["league_id", "_block", "_blocks", "team_id"]
     pairs = pairs.withColumn("_block", F.pmod(F.xxhash64("team_id"), F.col("_blocks")).cast("int"))
     k = F.lit(float(prior_matches))
+    parts = min(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_MATCHES))
 
     def opponents(f: DataFrame, c: str) -> DataFrame:
         """The factors of all teams at every block of their league."""
-        return dealt(f.select("league_id", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("team_id").alias("opponent_id"), c), *place)
+        return f.select("league_id", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("team_id").alias("opponent_id"), c).repartition(parts, *place)
 
     teams = None
-    with kept_dealt(pairs, place) as pairs:
+    with kept_dealt(pairs, place, parts) as pairs:
         for _ in range(most_iterations):
             met = pairs.withColumn("defense", F.lit(1.0)) if teams is None else pairs.join(opponents(teams, "defense"), [*place, "opponent_id"])
             attack = met.groupBy(*own).agg(((F.sum("gf") + k) / (F.sum(F.col("ef") * F.col("defense")) + k)).alias("attack"))
@@ -171,7 +175,7 @@ def team_goal_strengths(matches: DataFrame, as_of: Column | None = None, *, half
                 step = step.join(teams.select(*place, "team_id", F.col("attack").alias("_a"), F.col("defense").alias("_d")), [*place, "team_id"])
                 before = [F.col("_a"), F.col("_d")]
             moved = F.greatest(F.abs(F.col("attack") - before[0]), F.abs(F.col("defense") - before[1]))
-            step = cut_lineage(step.select(*own, "attack", "defense", moved.alias("_m")))
+            step = rewritten(step.select(*own, "attack", "defense", moved.alias("_m")))
             residual = step.agg(F.max("_m")).first()[0]
             teams = step.drop("_m")
             if residual <= tolerance:

@@ -45,8 +45,9 @@ def test_goal_strengths_settle(spark):
 
 
 def test_pairings_stay_where_they_are(spark, monkeypatch):
-    plans, cut = [], ratings.cut_lineage
-    monkeypatch.setattr(ratings, "cut_lineage", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()) if "_m" in d.columns else None) or cut(d))
+    plans, cut = [], ratings.rewritten
+    monkeypatch.setattr(ratings, "PART_MATCHES", 60)
+    monkeypatch.setattr(ratings, "rewritten", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()) if "_m" in d.columns else None) or cut(d))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many teams
     try:
@@ -57,7 +58,7 @@ def test_pairings_stay_where_they_are(spark, monkeypatch):
     assert len(plans) > 1
     for plan in plans:
         lines = plan.splitlines()
-        scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line]
+        scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line and "Bucketed: true" in line]
         assert scans
         for i in scans:  # between the pairings and their join or grouping nothing is shuffled
             while "SortMergeJoin" not in lines[i] and "HashAggregate" not in lines[i]:
