@@ -19,16 +19,19 @@ from matchgrain.functions.scalars import covariate_differences
 from matchgrain.functions.storage import cut_lineage
 from matchgrain.operators import evaluation as V
 from matchgrain.operators import windows as W
-from matchgrain.operators.aggregates import impute
+from matchgrain.operators.aggregates import imputation_means, impute, with_means
 
 P3 = V.P3
 
 
 def training_matrix(df: DataFrame, features: Sequence[str], date: str = "kickoff_utc", *, label: str = "target", test_size=0.2, calibration_size=0.2) -> DataFrame:
-    """Chronological parts, training means for missing values, one vector in contract order."""
+    """Chronological parts, training means for missing values, one vector in contract order.
+
+    `df` is read several times and not written: pass a stored table. Only its row of means is cut off here.
+    """
     parts = W.chronological_split(df, date, test_size=test_size, calibration_size=calibration_size)
-    parts = cut_lineage(parts.withColumns({f: F.col(f).cast("double") for f in features}))
-    filled = impute(parts, parts.where("part = 'train'"), features)
+    parts = parts.withColumns({f: F.col(f).cast("double") for f in features})
+    filled = with_means(parts, cut_lineage(imputation_means(parts.where("part = 'train'"), features)), features)
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(filled).select("*").withColumn(label, F.col(label).cast("double"))
 
 

@@ -11,6 +11,8 @@ cut a key into pieces first:
 * `prior_rows`    - frames of at most `lookback` rows. Positions from
   `prior_totals` cut a key into blocks of `size` rows, and each block also
   receives the last `lookback` rows of the block before it.
+* `by_key_size`   - rows of keys that are no larger than a block, for which a plain
+  window does with one shuffle, and all others, for the helpers above.
 * `asof_prior`    - latest right row before each left row, as a prefix last-value
   over the union of both sides: linear, no pairs are formed.
 """
@@ -37,6 +39,19 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def by_key_size(df: DataFrame, keys: Sequence[str], bucket: Column, size: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of keys with at most `size` rows, all other rows).
+
+    The first part has `_key`, a struct of the keys by which it is dealt already; a window over it needs no further
+    shuffle. Null keys are one key. Rows whose bucket is null (no time) are in the second part.
+    """
+    placed = df.withColumn("_key", F.struct(*keys))
+    large = placed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).select("_key", F.lit(True).alias("_large"))
+    # One condition over both sides of the join stays above it, so both parts read the same shuffled rows.
+    marked = placed.join(large, "_key", "left").withColumn("_far", F.coalesce("_large", bucket.isNull()))
+    return marked.where(~F.col("_far")).drop("_large", "_far"), marked.where("_far").drop("_key", "_large", "_far")
+
+
 def _order_struct(order: Sequence[Column]) -> Column:
     return F.struct(*order)
 
@@ -156,7 +171,7 @@ def prior_rows(
     placed = df if position in df.columns else prior_totals(
         df, keys, order, bucket, position=position
     )
-    blocks = with_halo(placed, position, lookback, size)
+    blocks = with_halo(placed, position, lookback, size, [*keys, *order])
     spec = Window.partitionBy(*keys, "_block").orderBy(position)
     made = {name: F.when(F.col(position).isNotNull(), c) for name, c in expressions(spec).items()}
     out = blocks.withColumns(made).where("_own")
@@ -164,12 +179,13 @@ def prior_rows(
     return out.drop(*drop)
 
 
-def with_halo(df: DataFrame, position: str, lookback: int, size: int) -> DataFrame:
+def with_halo(df: DataFrame, position: str, lookback: int, size: int, spread: Sequence[str]) -> DataFrame:
     if lookback > size:
         size = lookback
     zero = F.col(position) - F.lit(1)
-    # Rows without a position are in no block of the order; a hash spreads them over blocks below zero.
-    own = F.coalesce(F.floor(zero / F.lit(size)).cast("bigint"), -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))
+    # Rows without a position are in no block of the order; a hash of `spread` spreads them over blocks below zero.
+    # A hash of all columns would keep columns in the plan that nothing else reads.
+    own = F.coalesce(F.floor(zero / F.lit(size)).cast("bigint"), -1 - F.pmod(F.xxhash64(*spread), F.lit(1 << 40)))
     also = F.when(zero % F.lit(size) >= F.lit(size - lookback), own + 1)
     return (
         df.withColumn("_home", own)
@@ -230,7 +246,7 @@ def prior_ewm(
     upto = spec.rowsBetween(Window.unboundedPreceding, 0)
     weight = F.pow(F.lit(keep), F.col("_pos") - F.lag("_pos").over(spec))
     states = (
-        with_halo(observed, "_idx", lookback, size)
+        with_halo(observed, "_idx", lookback, size, keys)
         .withColumn("_w", weight)
         .withColumn("_log", F.coalesce(F.ln(F.col("_w") / (F.col("_w") + alpha)), F.lit(0.0)))
         .withColumn("_b", F.coalesce(F.col("_x") * alpha / (F.col("_w") + alpha), F.col("_x")))

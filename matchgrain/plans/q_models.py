@@ -13,23 +13,21 @@ from matchgrain.plans.registry import query, rounded
 FORM = ["home_history_n", "away_history_n", "home_points_l5", "away_points_l5", "home_goal_diff_l10", "away_goal_diff_l10"]
 
 
-def dealt(df):
-    """Rows in equal parts: the samples of R7's trees are drawn by partition."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def features(b):
-    """Completed matches with point-in-time form columns and the target."""
+    """Completed matches with point-in-time form columns and the target.
+
+    They lie where their join by fixture leaves them, in order of the fixtures: the samples of R7's trees are drawn by partition and place.
+    """
     def build():
         state = ledger.match_feature_snapshots(ledger.prior_team_state(ledger.team_events(b.matches)))
         target = b.scored.select("fixture_id", "target", "kickoff_utc", "p_home", "p_draw", "p_away")
-        return dealt(target.join(state.select("fixture_id", *FORM), "fixture_id").withColumn("day", F.col("kickoff_utc").cast("date")))
+        return target.join(state.select("fixture_id", *FORM), "fixture_id").withColumn("day", F.col("kickoff_utc").cast("date")).sortWithinPartitions("fixture_id")
 
     return b.stored("features", build)
 
 
 def matrix(b):
-    return b.stored("matrix", lambda: dealt(L.training_matrix(features(b), FORM)))
+    return b.stored("matrix", lambda: L.training_matrix(features(b), FORM))
 
 
 @query("r1_elo_history")
