@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,12 +114,9 @@ class Merges:
             return None
         if not self.suffix:
             return self.engine.encode_ordinary(chunk)
-        if chunk.isascii():
-            if chunk.isalpha():
-                return self.engine.encode_single_piece(chunk.lower().encode() + b"\xff")
-            chunk = chunk.lower()
-        else:
-            chunk = "".join(map(str.lower, chunk))
+        chunk = chunk.lower()  # below _PLAIN no letter's small form depends on its neighbours
+        if chunk.isalpha():
+            return self.engine.encode_single_piece(chunk.encode() + b"\xff")
         return [r for w in self.words.findall(chunk) for r in self.engine.encode_single_piece(w.encode() + b"\xff")]
 
 
@@ -149,34 +146,33 @@ class ChunkIds:
         self.starts[first + 1 : first + n + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
 
-    def _learn(self, fresh: list[str]) -> None:
-        ranks = [self.merges.ranks_of(c) for c in fresh]
-        own = [k for k, r in enumerate(ranks) if r is not None]
-        if own:
-            lists = [ranks[k] for k in own]
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """The slot of each of these new chunks."""
+        ranks, first = list(map(self.merges.ranks_of, fresh)), len(self.slot)
+        own = np.fromiter((r is not None for r in ranks), bool, len(ranks))
+        if own.any():
+            lists = list(compress(ranks, own))
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-            self._keep([fresh[k] for k in own], self.merges.ids[flat], sizes)
-        asked = [c for c, r in zip(fresh, ranks) if r is None]
+            self._keep(list(compress(fresh, own)), self.merges.ids[flat], sizes)
+        asked = list(compress(fresh, ~own))
         for base in range(0, len(asked), 10_000):
             part = asked[base : base + 10_000]
             lists = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self._keep(part, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+        return first + np.where(own, np.cumsum(own), own.sum() + np.cumsum(~own)) - 1
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offset of each text's first id)."""
         codes, chunks, offsets = self.cut(texts)
         if len(self.slot) > KEEP:
             self._forget()
-        names = chunks.to_pylist()
-        found = list(map(self.slot.get, names))
-        if None in found:
-            new = [k for k, place in enumerate(found) if place is None]
-            self._learn([names[k] for k in new])
-            for k in new:
-                found[k] = self.slot[names[k]]
-        places = np.array(found, np.int64)
+        names = chunks.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        places = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
+        new = places < 0
+        if new.any():
+            places[new] = self._learn(list(compress(names, new)))
         begin, size = self.starts[places], self.starts[places + 1] - self.starts[places]
         sizes = size[codes] if len(codes) else np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])

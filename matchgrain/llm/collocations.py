@@ -83,7 +83,7 @@ class Runs:
         named = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
         self.langs, self.lang = named.dictionary, named.indices.to_numpy()[text].astype(np.int64)
         salt = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs.to_pylist()), np.uint64, len(self.langs))
-        table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.words))
+        table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(self.words))
         self.symbols = table[self.ids] if len(self.ids) else np.empty(0, np.uint64)
         self.salt = salt[self.lang] if len(self.lang) else np.empty(0, np.uint64)
 

@@ -50,7 +50,7 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for old, new in (("ß", "ss"), ("ς", "σ")):
         texts = pc.replace_substring(texts, old, new)
     ids, vocabulary, offsets = words_of(pc.replace_substring_regex(texts, r"[^\p{L}\p{M}\p{N}]+", " "), lower=False)
-    words = vocabulary.to_pylist()
+    words = vocabulary.to_numpy(zero_copy_only=False).tolist()
     table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     letters = np.fromiter((len(w) for w in words), np.int64, len(words))
     return (table[ids], letters[ids], offsets) if len(ids) else (np.empty(0, np.uint64), np.empty(0, np.int64), offsets)

@@ -167,7 +167,7 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int, full: bool):
     for batch in bounded(batches, "text"):
         texts = batch.column(1)
         ids, vocabulary, offsets = words_of(texts, lower=False)
-        shown = vocabulary.to_pylist()
+        shown = vocabulary.to_numpy(zero_copy_only=False).tolist()
         removed, kept = [], []
         for i, (starts, copy) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             own = ids[offsets[i] : offsets[i + 1]]

@@ -49,7 +49,7 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _hashes(vocabulary: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_numpy(zero_copy_only=False)), np.uint64, len(vocabulary))
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]):

@@ -71,7 +71,7 @@ def hashed_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, offsets)."""
     ids, vocabulary, offsets = words_of(texts, lower)
     digest = xxhash.xxh3_64_intdigest
-    table = np.fromiter((digest(w) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+    table = np.fromiter(map(digest, vocabulary.to_numpy(zero_copy_only=False)), np.uint64, len(vocabulary))
     return (table[ids] if len(ids) else np.empty(0, np.uint64)), offsets
 
 
