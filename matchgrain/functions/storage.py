@@ -32,6 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, not when the driver next collects garbage: for tables that are written and read back."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage and go on from the written copy.
 
@@ -45,7 +57,8 @@ def rewritten(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: for steps of a long iteration, as a checkpoint keeps facts of the plan before it, which pile up."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/step_{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,13 +66,16 @@ def stored_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -
     """Parquet table in the shared folder, built at first use in this application.
 
     Rows are written where the last step leaves them; dealing them out anew would shuffle and sort the whole table.
+    The shuffle files of the build do not outlive it.
     """
     application = spark.sparkContext.applicationId
     slot = (application, key)
     if slot not in _STORED:
         digest = hashlib.sha256(key.encode()).hexdigest()[:16]
         path = f"{shared_folder(spark)}/tables/{application}/{digest}"
-        build().write.mode("overwrite").parquet(path)
+        made = build()
+        with shuffles_dropped(spark):
+            made.write.mode("overwrite").parquet(path)
         _STORED[slot] = path
     return spark.read.parquet(_STORED[slot])
 

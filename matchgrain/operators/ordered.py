@@ -20,11 +20,13 @@ cut a key into pieces first:
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from matchgrain.functions.contracts import seconds
+from matchgrain.functions.storage import rewritten
 
 HOUR = 3600
 BLOCK_ROWS = 4096
@@ -39,14 +41,21 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def by_key_size(df: DataFrame, keys: Sequence[str], bucket: Column, size: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def by_key_size(
+    df: DataFrame, keys: Sequence[str], bucket: Column, size: int = BLOCK_ROWS, *, first: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(rows of keys with at most `size` rows, all other rows).
 
     The first part has `_key`, a struct of the keys by which it is dealt already; a window over it needs no further
     shuffle. Null keys are one key. Rows whose bucket is null (no time) are in the second part.
+
+    `first` counts at once and keeps the large keys as a table. For callers that compute the parts in separate jobs: no row is
+    shuffled to find its part if the large keys are few, and a window deals out the first part.
     """
     placed = df.withColumn("_key", F.struct(*keys))
     large = placed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).select("_key", F.lit(True).alias("_large"))
+    if first:
+        large = rewritten(large)
     # One condition over both sides of the join stays above it, so both parts read the same shuffled rows.
     marked = placed.join(large, "_key", "left").withColumn("_far", F.coalesce("_large", bucket.isNull()))
     return marked.where(~F.col("_far")).drop("_large", "_far"), marked.where("_far").drop("_key", "_large", "_far")
@@ -215,8 +224,7 @@ def prior_ewm(
     """
     alpha = 2.0 / (span + 1.0)
     keep = 1.0 - alpha
-    lookback = int(max(64, -50.0 / _log(keep)))
-    size = int(max(lookback, min(2048, -400.0 / _log(keep))))
+    lookback, size = ewm_block(span)
     placed = prior_totals(
         df,
         keys,
@@ -267,10 +275,30 @@ def prior_ewm(
     )
 
 
-def _log(x: float) -> float:
-    from math import log
+def ewm_block(span: int) -> tuple[int, int]:
+    """(rows after which a mean has forgotten what was before, rows whose weights stay within a double)."""
+    decay = -log(1.0 - 2.0 / (span + 1.0))
+    lookback = int(max(64, 50.0 / decay))
+    return lookback, int(max(lookback, min(2048, 400.0 / decay)))
+
+
+def window_ewm(df: DataFrame, spec: WindowSpec, values: Mapping[str, str], *, span: int = 10) -> DataFrame:
+    """W4 for keys of at most `ewm_block` rows: the means of `prior_ewm` over one ordered window, without a shuffle or rows per metric.
 
-    return log(x)
+    The weight of a mean decays by row, so the running product cannot leave a double before the rows of a block are over.
+    """
+    alpha = 2.0 / (span + 1.0)
+    prior, upto = (spec.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    at = range(len(values))
+    x = [F.col(v).cast("double") for v in values]
+    out = df.withColumn("_at", F.row_number().over(spec))
+    out = out.withColumns({f"_w{i}": F.pow(F.lit(1.0 - alpha), F.col("_at") - F.last(F.when(x[i].isNotNull(), F.col("_at")), ignorenulls=True).over(prior)) for i in at})
+    logs = [F.when(x[i].isNotNull(), F.coalesce(F.ln(F.col(f"_w{i}") / (F.col(f"_w{i}") + alpha)), F.lit(0.0))) for i in at]
+    out = out.withColumns({f"_{name}{i}": F.sum(logs[i]).over(frame) for i in at for name, frame in (("S", upto), ("S0", prior))})
+    terms = [F.coalesce(x[i] * alpha / (F.col(f"_w{i}") + alpha), x[i]) * F.exp(-F.col(f"_S{i}")) for i in at]
+    out = out.withColumns({f"_T{i}": F.sum(terms[i]).over(prior) for i in at})
+    made = {name: F.exp(f"_S0{i}") * F.col(f"_T{i}") for i, name in enumerate(values.values())}
+    return out.withColumns(made).drop("_at", *[f"_{name}{i}" for i in at for name in ("w", "S", "S0", "T")])
 
 
 def asof_prior(

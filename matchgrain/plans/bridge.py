@@ -165,6 +165,7 @@ class Bridge:
     def _shots(self) -> DataFrame:
         return (
             self.table("lineitem")
+            .repartition("l_orderkey")  # the shots of a fixture lie together
             .groupBy(F.col("l_orderkey").alias("fixture_id"), F.col("l_linenumber").alias("shot_no"))
             .agg(
                 (F.max("l_discount") * 5).alias("xg"),
@@ -187,7 +188,10 @@ class Bridge:
 
     @cached_property
     def matches_xg(self) -> DataFrame:
-        """Completed matches with summed shot xG and shot counts per side."""
+        """Completed matches with summed shot xG and shot counts per side; written once, as its readers check and count it before they use it."""
+        return self.stored("matches_xg", self._matches_xg)
+
+    def _matches_xg(self) -> DataFrame:
         sides = self.shots.groupBy("fixture_id").agg(
             F.sum(F.when(F.col("is_home"), F.col("xg")).otherwise(0.0)).alias("home_xg"),
             F.sum(F.when(~F.col("is_home"), F.col("xg")).otherwise(0.0)).alias("away_xg"),

@@ -88,6 +88,16 @@ def test_stored_tables_are_not_dealt_out_anew(spark, tmp_path, monkeypatch):
     assert storage.stored_once(spark, f"{tmp_path}|t", lambda: spark.range(7)).count() == 7
 
 
+def test_shuffles_of_a_stored_table_do_not_outlive_it(spark, tmp_path):
+    from matchgrain.functions import storage
+
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before, setting = files.getAllFiles().size(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    made = storage.stored_once(spark, f"{tmp_path}|d", lambda: spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert files.getAllFiles().size() <= before and made.count() == 100
+    assert spark.conf.get(setting) == "false"
+
+
 def test_draws_do_not_multiply_what_is_shuffled(spark):
     from matchgrain.operators.ledger import league_table
 
