@@ -95,6 +95,7 @@ class Bridge:
     def _quotes(self) -> DataFrame:
         raw = (
             self.table("lineitem")
+            .repartition("l_orderkey")  # as the join with the matches wants them
             .groupBy(
                 F.col("l_orderkey").alias("fixture_id"),
                 (F.col("l_suppkey") % 5).alias("bookmaker"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchgrain.operators import aggregates as A
 from matchgrain.operators import ledger, markets
+from matchgrain.operators.ordered import dealt
 from matchgrain.plans.registry import query, rounded
 
 
@@ -14,7 +15,8 @@ def ts(text: str):
 
 
 def fair(b):
-    return markets.devig_multiplicative(b.quotes)
+    """Fair quotes, dealt out once by the market that all steps of a query group by."""
+    return markets.devig_multiplicative(dealt(b.quotes, "fixture_id", "market"))
 
 
 @query("d3_consensus_market", """SELECT fixture_id, market, selection, round(median(fair_probability), 6) AS consensus_probability, round(min(fair_probability), 6) AS market_low, round(max(fair_probability), 6) AS market_high,

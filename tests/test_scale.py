@@ -98,6 +98,23 @@ def test_shuffles_of_a_stored_table_do_not_outlive_it(spark, tmp_path):
     assert spark.conf.get(setting) == "false"
 
 
+def test_market_movement_deals_quotes_once(spark):
+    from matchgrain.operators.aggregates import market_movement
+    from matchgrain.plans import q_aggs
+
+    prices = {("home", 1, 1): 2.0, ("away", 1, 1): 2.0, ("home", 2, 1): 1.5, ("away", 2, 1): 4.5, ("home", 1, 2): 1.25, ("away", 1, 2): 5.0}
+    rows = [(7, "ml", s, b, t, p) for (s, b, t), p in prices.items()] + [(7, "ml", "home", None, 3, 9.0), (None, "ml", "home", 1, 3, 9.0)]
+    quotes = spark.createDataFrame(rows, "fixture_id long, market string, selection string, bookmaker long, t long, decimal_price double").withColumn("observed_at", F.timestamp_seconds("t")).drop("t")
+    bridge = type("Tables", (), {"quotes": quotes})()
+    fair = q_aggs.fair(bridge)
+    assert fair.columns == ["fixture_id", "market", "bookmaker", "observed_at", "selection", "decimal_price", "fair_probability"] and fair.count() == 6
+    got = market_movement(fair)
+    seen = {r.selection: (r.opening_probability, r.current_probability, r.current_best_price, r.current_books, r.current_observed_at.timestamp()) for r in got.collect()}
+    assert seen == {"home": pytest.approx((0.625, 0.8, 1.25, 1, 2)), "away": pytest.approx((0.375, 0.2, 5.0, 1, 2))}
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
 def test_draws_do_not_multiply_what_is_shuffled(spark):
     from matchgrain.operators.ledger import league_table
 
