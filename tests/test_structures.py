@@ -179,3 +179,41 @@ def test_quotes_leave_the_state_after_kickoff(spark, tmp_path):
     assert feed((1, day(4), 2.2), (1, day(6), 7.0), (2, day(10), 3.1)) == ([2], {1: 2.2, 2: 3.1})
     assert feed((1, day(4, 5), 2.9), (2, day(9), 3.3)) == ([2], {1: 2.2, 2: 3.1})
     assert feed((2, day(25), 4.0)) == ([], {1: 2.2, 2: 3.1})
+
+
+def test_latest_quotes_are_fed_in_order_of_time(spark, monkeypatch):
+    import datetime as dt
+    import pathlib
+    from types import SimpleNamespace
+
+    from matchgrain.plans import q_streams
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f, "1x2", s, b, start + dt.timedelta(hours=24 * f + 5 * t), 2.0 + (f * 7 + t * 3 + b) % 11) for f in range(40) for s in ("home", "away") for b in (1, 2) for t in range(6)]
+    rows += [(3, "1x2", "home", 1, None, 99.0), (None, "1x2", "home", 1, start, 99.0), (50, "1x2", "home", 1, start, 99.0), (5, "1x2", "home", None, start, 7.5)]
+    names = "fixture_id long, market string, selection string, bookmaker long, observed_at timestamp_ntz, decimal_price double"
+    kickoffs = [(f, start + dt.timedelta(hours=24 * f + 22)) for f in range(40)] + [(51, None)]
+    bridge = SimpleNamespace(spark=spark, quotes=spark.createDataFrame(rows, names), matches=spark.createDataFrame(kickoffs, "fixture_id long, kickoff_utc timestamp_ntz"))
+    seen, folders, run = [], [], q_streams.T.run_to_table
+
+    def fed(latest, out, checkpoint, mode, **dealt):
+        folders.append(f"{out[:-4]}/in")
+        span = spark.read.option("recursiveFileLookup", True).parquet(folders[-1])
+        seen.append(span.agg(F.count("*"), F.min("observed_at"), F.max("observed_at"), F.count_if(F.col("observed_at").isNull())).first())
+        run(latest, out, checkpoint, mode, **dealt)
+        kept = spark.read.format("statestore").load(checkpoint).count()
+        assert kept <= 8  # keys whose kickoff is to come, not all of the 160
+
+    monkeypatch.setattr(q_streams.T, "run_to_table", fed)
+    monkeypatch.setattr(q_streams, "FEED_ROWS", 400)
+    latest = q_streams.t1(bridge)
+    got = {(r.fixture_id, r.selection, r.bookmaker): (r.observed_at, r.decimal_price) for r in latest.collect()}
+    want, ends = {}, dict(kickoffs)
+    for f, _, s, b, t, p in rows:
+        if t is not None and ends.get(f) is not None and t < ends[f]:
+            want[f, s, b] = max(want.get((f, s, b), (t, p)), (t, p))
+    assert got == want and latest.count() == len(got) == 161
+    assert len(seen) == 3 and sum(r[0] for r in seen) == len(rows) and seen[0][3] == 1
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+    assert len(set(folders)) == 1 and not list(pathlib.Path(folders[0]).glob("*"))
+    assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString()
