@@ -14,9 +14,12 @@ def ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+PART_QUOTES = 500_000
+
+
 def fair(b):
-    """Fair quotes, dealt out once by the market that all steps of a query group by."""
-    return markets.devig_multiplicative(dealt(b.quotes, "fixture_id", "market"))
+    """Fair quotes, dealt out once by the market that all steps of a query group by, in parts that are sorted in memory."""
+    return markets.devig_multiplicative(dealt(b.quotes, "fixture_id", "market", rows=PART_QUOTES))
 
 
 @query("d3_consensus_market", """SELECT fixture_id, market, selection, round(median(fair_probability), 6) AS consensus_probability, round(min(fair_probability), 6) AS market_low, round(max(fair_probability), 6) AS market_high,

@@ -98,7 +98,7 @@ def test_shuffles_of_a_stored_table_do_not_outlive_it(spark, tmp_path):
     assert spark.conf.get(setting) == "false"
 
 
-def test_market_movement_deals_quotes_once(spark):
+def test_market_movement_deals_quotes_once(spark, monkeypatch):
     from matchgrain.operators.aggregates import market_movement
     from matchgrain.plans import q_aggs
 
@@ -113,6 +113,8 @@ def test_market_movement_deals_quotes_once(spark):
     assert seen == {"home": pytest.approx((0.625, 0.8, 1.25, 1, 2)), "away": pytest.approx((0.375, 0.2, 5.0, 1, 2))}
     text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    monkeypatch.setattr(q_aggs, "PART_QUOTES", 1)
+    assert "REPARTITION_BY_NUM" in text and q_aggs.fair(bridge).rdd.getNumPartitions() == 8  # a part for each quote, not 4
 
 
 def test_draws_do_not_multiply_what_is_shuffled(spark):
